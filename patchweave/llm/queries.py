@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm import decontaminate, fair_mix, splitters, url_filter
+from patchweave.llm import decontaminate, fair_mix, splitters, suffix_dedup, url_filter
 from patchweave.llm.common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -31,5 +35,5 @@ def op10_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
