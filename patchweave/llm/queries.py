@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm import decontaminate, fair_mix, splitters, suffix_dedup, url_filter
+from patchweave.llm import audio, decontaminate, fair_mix, repair, splitters, suffix_dedup, transducer, url_filter
 from patchweave.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file lies; the package is installed alike on driver and executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.store_media(table(spark, sf_dir, "documents"))
+    return audio.audio_features(media, with_tensors=False).drop("tensors")
+
+
+def op2_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -35,5 +55,5 @@ def op10_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
+QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op5_repair, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
