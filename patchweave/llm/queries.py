@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm import audio, decontaminate, fair_mix, repair, splitters, suffix_dedup, transducer, url_filter
+from patchweave.llm import audio, decontaminate, fair_mix, kneser_ney, repair, splitters, suffix_dedup, transducer, url_filter
 from patchweave.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("th")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -55,5 +59,5 @@ def op10_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op5_repair, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
+QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op5_repair, op6_kneser_ney, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
