@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,8 @@ LOW = np.uint64(127)
 HOT_REGIONS = 4096
 #: Window starts that are looked at together in a long text.
 BLOCK = 1 << 20
+#: Contexts that are sorted together, if their groups allow, and texts whose regions are settled together.
+CONTEXTS, TEXTS = 8192, 2048
 #: Stands for a null id in the order of documents.
 NO_ID = (1 << 63) - 1
 
@@ -53,15 +54,17 @@ def _avalanche(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    out = []
-    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_power_tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64; one growing table a process."""
+    if len(_power_tables[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            p = np.full(n, b, np.uint64)
+            p[0] = 1
+            _power_tables[k] = np.multiply.accumulate(p, out=p)
+    return _power_tables
 
 
 class PrefixHashes:
@@ -122,7 +125,7 @@ REGION_SCHEMA = "k long, r long, doc long, th long, start int, lead int, windows
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of each text. A region met before in the same batch comes back as done and is dealt by its document."""
-    for batch in batches:
+    for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
         doc, th, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
         order = np.lexsort((th, doc))
         found, owner = [], []
@@ -179,7 +182,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for j in range(windows):
                     for col, x in zip(out, (keys[j], doc, th, start + j, 0, 1, bytes(raw[start + j : start + j + LENGTH])), strict=True):
                         col.append(x)
-            if len(out[0]) > 20_000:
+            if len(out[0]) > CONTEXTS:
                 yield _batch(out, names)
                 out = [[] for _ in names]
         if out[0]:
@@ -215,7 +218,7 @@ class SuffixSorter:
         if not len(a):
             return length
         most = int(length.max())
-        step = max(1, (1 << 22) // max(most, 1))
+        step = max(1, (1 << 19) // max(most, 1))
         at = np.arange(most)
         out = length.copy()
         for s in range(0, len(a), step):
@@ -320,7 +323,7 @@ def _edge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < 60_000:
+        if rows < CONTEXTS:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         k = table.column("k").to_numpy()
