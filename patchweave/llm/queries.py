@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchweave.llm import audio, decontaminate, fair_mix, kneser_ney, repair, splitters, suffix_dedup, transducer, url_filter
+from patchweave.llm import audio, chosen_path, decontaminate, fair_mix, kneser_ney, repair, splitters, suffix_dedup, transducer, url_filter
 from patchweave.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
 def op5_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.token_output(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
@@ -59,5 +63,5 @@ def op10_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op5_repair, op6_kneser_ney, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
+QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op4_chosen_path, op5_repair, op6_kneser_ney, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
