@@ -9,7 +9,7 @@ documents. Blocks are rows of a Parquet table in the shared folder.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -29,37 +29,66 @@ ROUNDS, PAIRS, LEAST = 4, 1024, 16
 #: Words that a worker remembers.
 MEMO = 600_000
 
-_SPECIAL = re.compile(r"<\|")
-
-
 class Encoder:
     """Ids as the tokenizers library gives them, with a memo of words.
 
-    The tokenizer never joins what spaces or line feeds part, so a text's ids are its words' ids in turn. Texts that
-    may hold strings of special tokens go to the library whole.
+    The tokenizer never joins what spaces or line feeds part, so a text's ids are its words' ids in turn. It folds
+    case, and a full stop or comma after a letter is a token of its own, so "Word." is looked up as "word" and ".".
+    Words not met before go to the library many at a time, parted by a mark whose id no other word can bring. Texts
+    that may hold strings of special tokens go to the library whole.
     """
 
+    MARK = "\x07"
+
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}
+        mark = self.library.encode(self.MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of plain words, by the library."""
+        plain = [w for w in words if self.MARK not in w and w] if self.mark is not None else []
+        for w in words if self.mark is None else [w for w in words if self.MARK in w]:
+            self.memo[w] = self.whole(w)
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            joined = f" {self.MARK} ".join(part)
+            ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            start, stop = np.append(0, cut + 1) * 4, np.append(cut, len(ids)) * 4
+            raw = ids.tobytes()
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], strict=True))
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
+        if not memo:
             memo[""] = b""
+            self._learn([".", ","])
         split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list({w for words in split if words is not None for w in words if w not in memo})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        fresh = {w for words in split if words is not None for w in words}.difference(memo)
+        base: dict[str, tuple[str, bytes]] = {}
+        letters = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        for w in fresh:
+            end = b""
+            core = w
+            if w[-1] in ".," and w[-2:-1] in letters:
+                core, end = w[:-1], memo[w[-1]]
+            if not core.islower() and core.isalpha() and "\u03a3" not in core and len(low := core.lower()) == len(core):
+                core = low
+            base[w] = core, end
+        self._learn(list({c for c, _ in base.values()}.difference(memo)))
+        for w, (core, end) in base.items():
+            memo[w] = memo[core] + end
         return [self.whole(t) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
@@ -77,7 +106,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
 
     ``ends`` marks the last id of each document; ``base`` is the first nonterminal.
     """
-    seq, end = ids.astype(np.int64), ends.copy()
+    seq, end = ids.astype(np.int32), ends.copy()
     rules: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     length_of = lambda s: np.where(s < base, 1, np.concatenate([*lengths, [0]])[np.maximum(s - base, 0)] if lengths else 1)
@@ -85,29 +114,36 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1] << 24 | seq[1:]).astype(np.uint64)
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        key = seq[:-1].astype(np.uint64) << np.uint64(24) | seq[1:].astype(np.uint64)
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
         bucket[end[:-1]] = 0  # a pair must not leave its document
         counts = np.bincount(bucket, minlength=1 << 20)
         counts[0] = 0
         often = counts >= least
-        if often.sum() > 2 * pairs:
-            often &= counts >= np.partition(counts, -2 * pairs)[-2 * pairs]
+        if often.sum() > pairs:
+            often &= counts >= np.partition(counts, -pairs)[-pairs]
         at = np.flatnonzero(often[bucket])
-        found, inverse, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(n >= least)
+        if not len(at):
+            break
+        # One pair speaks for each bucket; which of several that share one does not matter.
+        mine = bucket[at]
+        pair_of = np.zeros(1 << 20, np.uint64)
+        pair_of[mine] = key[at]
+        take = key[at] == pair_of[mine]
+        at, mine = at[take], mine[take]
+        n = np.bincount(mine, minlength=1 << 20)
+        chosen = np.flatnonzero(n >= least)[:pairs]
         if not len(chosen):
             break
-        chosen = chosen[np.argsort(-n[chosen], kind="stable")[:pairs]]
-        number = np.full(len(found), -1)
+        number = np.full(1 << 20, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        take = number[inverse] >= 0
-        at, rule = at[take], number[inverse][take]
+        take = number[mine] >= 0
+        at, rule = at[take], number[mine[take]]
         # Overlapping places form runs of neighbours; every other one of a run is replaced.
         head = np.concatenate(([True], np.diff(at) != 1))
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, rule = at[run % 2 == 0], rule[run % 2 == 0]
-        pair = np.stack([found[chosen] >> np.uint64(24), found[chosen] & np.uint64((1 << 24) - 1)], 1).astype(np.int64)
+        pair = np.stack([pair_of[chosen] >> np.uint64(24), pair_of[chosen] & np.uint64((1 << 24) - 1)], 1).astype(np.int64)
         new = length_of(pair[:, 0]) + length_of(pair[:, 1])
         seq[at] = base + n_rules + rule
         end[at] = end[at + 1]
@@ -198,15 +234,27 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
     return stage(ordered.mapInArrow(packed, BLOCKS), "token-blocks")
 
 
-def decode(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of every document of a stored block."""
+def _grammar(row: dict) -> tuple[Grammar, np.ndarray]:
     rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
-    grammar = Grammar(rules, np.frombuffer(row["rule_len"], "<u4").astype(np.int64), row["base"])
-    seq = np.frombuffer(row["seq"][2:], "<" + row["seq"][:2].decode()).astype(np.int64)
+    return Grammar(rules, np.frombuffer(row["rule_len"], "<u4").astype(np.int64), row["base"]), np.frombuffer(row["seq"][2:], "<" + row["seq"][:2].decode()).astype(np.int64)
+
+
+def decode_one(row: dict, i: int) -> np.ndarray:
+    """Ids of the i-th document of a stored block alone."""
+    grammar, seq = _grammar(row)
+    stop = np.frombuffer(row["doc_stop"], "<u4")
+    return grammar.expand(seq[int(stop[i - 1]) if i else 0 : int(stop[i])])
+
+
+def decode(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of every document of a stored block, expanded together."""
+    grammar, seq = _grammar(row)
+    ids = grammar.expand(seq)
+    stop = np.cumsum(np.frombuffer(row["doc_len"], "<u4").astype(np.int64))
     at = 0
-    for d, none, stop in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["no_id"], bool).tolist(), np.frombuffer(row["doc_stop"], "<u4").tolist(), strict=True):
-        yield None if none else d, grammar.expand(seq[at:stop])
-        at = stop
+    for d, none, z in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), np.frombuffer(row["no_id"], bool).tolist(), stop.tolist(), strict=True):
+        yield None if none else d, ids[at:z]
+        at = z
 
 
 def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -224,7 +272,7 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
                 row = b.slice(i, 1).to_pylist()[0]
                 at, out = row["before"], []
                 for doc_id, ids in decode(row):
-                    out.append((doc_id, row["part"], at, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ids.tolist() if with_ids else None))
+                    out.append((doc_id, row["part"], at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4")), ids.tolist() if with_ids else None))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
