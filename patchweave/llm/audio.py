@@ -28,6 +28,8 @@ TENSOR_FRAMES = 64
 OPEN_DB, CLOSE_DB = 1.0, 1.0
 #: A payload is padded with spaces to a positive multiple of this.
 PAYLOAD_UNIT = 192
+#: Texts that are encoded together.
+ROWS = 256
 #: Resampled samples that are held at a time.
 BLOCK = HOP * 8192
 
@@ -159,7 +161,7 @@ def store_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every whole text (null: empty) as a WAV file in a table of the shared folder."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             raws = [t.as_py() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([to_wav(payload_of(r)) for r in raws], pa.binary())], ["doc_id", "n_bytes", "media"])
 
@@ -202,7 +204,7 @@ def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
                         f"{len(mels)}x{MELS}:{len(spans)}:{digest}", len(mels), [{"start_ms": s * frame_ms, "end_ms": e * frame_ms} for s, e in spans], tensors if with_tensors else None,
                     )
                 )
-                if len(rows) >= 256:
+                if len(rows) >= ROWS:
                     yield _rows(rows, schema)
                     rows = []
             if rows:
