@@ -3,7 +3,7 @@
 Documents are sets of five-word shingles; equal sets are one node. In each of several runs a set takes every shingle
 whose run-salted hash falls under 1 / (0.8 |set|), so similar sets are likely to take one in common. Sets that took
 the same shingle form a bucket. Small buckets are compared by brute force on bit sketches; a large one is first
-covered by pivots, and what no pivot covers is split again on shingles chosen along its path. Runs repeat until the
+covered by pivots, and what no pivot covers is split again on minimum hashes chosen along its path. Runs repeat until the
 chance that a pair at the threshold never meets is below one in a thousand.
 
 What meets only forms cells, connected pieces of likely links. Each text is then sent to its cell once, or to a row of
@@ -30,10 +30,14 @@ NUM, DEN = 4, 5
 RUNS, LEVELS = 16, 3
 #: Bits of a sketch, and the estimated similarity from which two sets share a cell. The estimate's deviation is 0.04 at 0.8.
 BITS, LIKELY = 256, 0.6
+#: Minimum hashes that stand for a set below the first level.
+MINS = 64
 #: Buckets up to this size are compared pair by pair; up to SHIFTS by shifted arrays.
 BRUTE, SHIFTS = 2048, 24
 #: Pivots of a large bucket; a set this similar to a pivot has all its links among the sets that are at least NEAR to it.
 PIVOTS, CORE, NEAR = 64, 0.7, 0.4
+#: A covered set names its pivot in so many of its large buckets, the same for all sets: those of least key.
+SAYS = 4
 #: Sets of a verification block.
 BLOCK = 1024
 #: Texts whose signatures are made together.
@@ -67,13 +71,13 @@ def shingles(raw: np.ndarray) -> np.ndarray:
     return np.unique(_avalanche(h + np.uint64(min(len(w), WORDS))))
 
 
-def sketch_of(tokens: np.ndarray) -> bytes:
-    """One bit of each of BITS minimum hashes."""
+def sketch_of(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """One bit of each of BITS minimum hashes, and MINS of the hashes: the set embedded in one of fixed size."""
     x = (tokens >> np.uint64(32)).astype(np.uint32)
     least = np.full(BITS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 4096):
         np.minimum(least, (x[i : i + 4096, None] * _SKETCH_SALTS[None, :]).min(0), out=least)
-    return np.packbits((least >> np.uint32(9) & np.uint32(1)).astype(bool)).tobytes()
+    return np.packbits((least >> np.uint32(9) & np.uint32(1)).astype(bool)).tobytes(), least[:MINS].tobytes()
 
 
 def limit_of(n: int) -> np.uint64:
@@ -91,10 +95,11 @@ def first_keys(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def next_keys(tokens: np.ndarray, key: int) -> np.ndarray:
-    """Bucket keys one level below ``key``: the path so far salts the choice."""
-    h = _avalanche(tokens ^ np.uint64(key % (1 << 64)))
-    return _avalanche(h[h <= limit_of(len(tokens))] ^ np.uint64(0x5851F42D4C957F2D))
+def next_keys(mins: np.ndarray, key: int) -> np.ndarray:
+    """Bucket keys one level below ``key``: the path so far salts a choice among the embedded set's elements."""
+    tokens = mins.astype(np.uint64) | np.arange(MINS, dtype=np.uint64) << np.uint64(32)
+    h = _avalanche(_avalanche(tokens) ^ np.uint64(key % (1 << 64)))
+    return _avalanche(h[h <= limit_of(MINS)] ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def set_id(tokens: np.ndarray) -> bytes:
@@ -104,22 +109,22 @@ def set_id(tokens: np.ndarray) -> bytes:
     return a.to_bytes(8, "big") + b.to_bytes(8, "big")
 
 
-SIGNATURE = "doc long, th long, sid binary, n int, sketch binary, keys array<long>"
+SIGNATURE = "doc long, th long, sid binary, n int, sketch binary, mins binary, keys array<long>"
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
     for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
         rows = []
         for doc, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             raw = text.as_buffer()
             t = shingles(np.frombuffer(raw, np.uint8)) if raw is not None and raw.size else np.zeros(0, np.uint64)
             if len(t):
-                rows.append((doc, th, set_id(t), len(t), sketch_of(t), first_keys(t).astype(np.int64)))
+                rows.append((doc, th, set_id(t), len(t), *sketch_of(t), first_keys(t).astype(np.int64)))
             else:
-                rows.append((doc, th, None, 0, None, []))
+                rows.append((doc, th, None, 0, None, None, []))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "sid", "n", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc", "th", "sid", "n", "sketch", "mins", "keys"])
 
 
 def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -153,18 +158,25 @@ class _Bucket:
         self.key = key
         self.pivots: list[tuple[bytes, np.ndarray]] = []
 
-    def take(self, sid: list[bytes], sketch: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
-        """Edges to pivots, and the members that no pivot covers."""
+    def take(self, sid: list[bytes], sketch: np.ndarray, says: np.ndarray) -> tuple[list[tuple[bytes, bytes]], list[int]]:
+        """Edges, and the members that no pivot covers.
+
+        A member has one edge, to its first near pivot, if it says so here; pivots that are near to one member are
+        joined with each other in any case.
+        """
         if len(self.pivots) < PIVOTS:
-            pick_ = np.argsort(_avalanche(sketch[:, 0]), kind="stable")[: PIVOTS - len(self.pivots)]
-            self.pivots += [(sid[i], sketch[i]) for i in pick_.tolist()]
-        edges: list[tuple[bytes, bytes]] = []
+            fresh = np.argsort(_avalanche(sketch[:, 0]), kind="stable")[: PIVOTS - len(self.pivots)]
+            self.pivots += [(sid[i], sketch[i]) for i in fresh.tolist()]
+        near = np.stack([_close(sketch, p[None, :], NEAR) for _, p in self.pivots], 1)
         covered = np.zeros(len(sid), bool)
-        for name, p in self.pivots:
-            near = np.flatnonzero(_close(sketch, p[None, :], NEAR))
-            covered[near[_close(sketch[near], p[None, :], CORE)]] = True
-            edges += [(sid[i], name) for i in near.tolist() if sid[i] != name]
-        return edges, np.flatnonzero(~covered).tolist()
+        for _, p in self.pivots:
+            covered |= _close(sketch, p[None, :], CORE)
+        first = near.argmax(1)
+        edges = [(sid[i], self.pivots[first[i]][0]) for i in np.flatnonzero(near.any(1) & (says | ~covered)).tolist()]
+        joint = near.astype(np.float32)
+        x, y = np.nonzero(joint.T @ joint)
+        edges += [(self.pivots[a][0], self.pivots[b][0]) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a < b]
+        return [(a, b) for a, b in edges if a != b], np.flatnonzero(~covered).tolist()
 
 
 def _bucket_pairs(last: bool):
@@ -195,7 +207,7 @@ def _bucket_pairs(last: bool):
         def work(table: pa.Table, open_end: bool) -> list[tuple]:
             nonlocal big
             key, n = table.column("key").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-            sid = table.column("sid").to_pylist()
+            sid, says = table.column("sid").to_pylist(), table.column("says").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
             head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(head, len(key)))
@@ -243,7 +255,7 @@ def _bucket_pairs(last: bool):
             for h, s in zip(head[large].tolist(), size[large].tolist(), strict=True):
                 if big is None or big.key != int(key[h]):
                     big = _Bucket(int(key[h]))
-                edges, left = big.take(sid[h : h + s], sketch[h : h + s])
+                edges, left = big.take(sid[h : h + s], sketch[h : h + s], says[h : h + s])
                 out += [(x, y, None) for x, y in edges]
                 out += [(sid[h + i], None, big.key) for i in left]
             return out
@@ -385,7 +397,7 @@ def similar(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     signed = stage(base.mapInArrow(_signatures, SIGNATURE), "signatures")
     nodes = stage(
         signed.where("n > 0").groupBy("sid").agg(
-            F.count("*").alias("weight"), F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")
+            F.count("*").alias("weight"), F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mins").alias("mins"), F.first("keys").alias("keys")
         ),
         "nodes",
     )
@@ -393,15 +405,15 @@ def similar(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     member = nodes.select(F.explode("keys").alias("key"), "sid", "n", "sketch")
     edges = None
     for level in range(1, LEVELS + 1):
-        found = stage(member.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(level == LEVELS), "a binary, b binary, key long"), f"paths-{level}")
+        told = _with_says(member)
+        found = stage(told.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(level == LEVELS), "a binary, b binary, key long"), f"paths-{level}")
         mine = found.where("b is not null").select("a", "b")
         edges = mine if edges is None else edges.unionByName(mine)
         left = found.where("b is null").select(F.col("a").alias("sid"), "key")
         if level == LEVELS or left.isEmpty():
             break
-        split = nodes.join(left.groupBy("sid").agg(F.collect_list("key").alias("paths")), "sid").select("rep", "sid", "n", "sketch", "paths")
-        texts = base.join(split, base["doc"].eqNullSafe(split["rep.doc"]) & (base["th"] == split["rep.th"])).select("sid", "n", "sketch", "paths", "raw")
-        member = texts.mapInArrow(_children, "key long, sid binary, n int, sketch binary")
+        split = nodes.join(left.groupBy("sid").agg(F.collect_set("key").alias("paths")), "sid").select("sid", "n", "sketch", "paths", "mins")
+        member = split.mapInArrow(_children, "key long, sid binary, n int, sketch binary")
 
     cells = connected(edges)
     sizes = cells.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -431,14 +443,22 @@ def similar(docs: DataFrame, runs: int = RUNS) -> DataFrame:
     )
 
 
+def _with_says(member: DataFrame) -> DataFrame:
+    """``member`` with ``says``: whether a set names its pivot in this bucket, should the bucket be large and cover it."""
+    large = stage(member.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BRUTE).select("key"), "large-buckets")
+    if large.isEmpty():
+        return member.withColumn("says", F.lit(True))
+    said = member.join(large, "key", "left_semi").groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("key")), 1, SAYS).alias("said"))
+    return member.join(said, "sid", "left").withColumn("says", F.coalesce(F.array_contains("said", F.col("key")), F.lit(True))).drop("said")
+
+
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members one level down: the shingles that each path chooses next."""
     for b in batches:
         out: list[tuple] = []
-        for sid, n, sketch, paths, text in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):
-            tokens = shingles(np.frombuffer(text.as_buffer(), np.uint8))
-            for p in set(paths):
-                out += [(k, sid, n, sketch) for k in next_keys(tokens, p).astype(np.int64).tolist()]
+        for sid, n, sketch, paths, mins in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for p in paths:
+                out += [(k, sid, n, sketch) for k in next_keys(np.frombuffer(mins, np.uint32), p).astype(np.int64).tolist()]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["key", "sid", "n", "sketch"])
 
