@@ -9,7 +9,9 @@ documents. Blocks are rows of a Parquet table in the shared folder.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,13 +29,18 @@ BLOCK_IDS = 1 << 20
 #: Rounds of pair replacement, pairs of a round, and how often a pair must occur.
 ROUNDS, PAIRS, LEAST = 4, 1024, 16
 #: Words that a worker remembers.
-MEMO = 600_000
+MEMO = 900_000
+
+#: A stop that ends a word.
+_STOP = re.compile(r"[.,](?<=[a-z].)(?=[ \n])")
+
 
 class Encoder:
     """Ids as the tokenizers library gives them, with a memo of words.
 
     The tokenizer never joins what spaces or line feeds part, so a text's ids are its words' ids in turn. It folds
-    case, and a full stop or comma after a letter is a token of its own, so "Word." is looked up as "word" and ".".
+    case, and a full stop or comma between a letter and a space is a token of its own, so "Word. " is looked up as
+    "word" and ".".
     Words not met before go to the library many at a time, parted by a mark whose id no other word can bring. Texts
     that may hold strings of special tokens go to the library whole.
     """
@@ -48,12 +55,30 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         mark = self.library.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        # Lower-case ASCII words are one pre-token each, so they can skip the normaliser; the last id of each ends a word.
+        bare = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        suffix = bare["model"].get("end_of_word_suffix") or "\0"
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        for token, i in bare["model"]["vocab"].items():
+            self.last[i] = token.endswith(suffix)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Ids of plain words, by the library."""
+        simple = [w for w in words if w.isalpha() and w.isascii() and w.islower()]
+        for i in range(0, len(simple), 4096):
+            part = simple[i : i + 4096]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stop = (np.flatnonzero(self.last[ids]) + 1) * 4
+            if len(stop) != len(part):
+                words = [*part, *words]  # not a vocabulary with word ends: the library's whole way below
+                continue
+            raw, at = ids.tobytes(), [0, *stop.tolist()]
+            self.memo.update(zip(part, [raw[a:b] for a, b in zip(at, at[1:])], strict=True))
+        words = [w for w in words if w not in self.memo]
         plain = [w for w in words if self.MARK not in w and w] if self.mark is not None else []
         for w in words if self.mark is None else [w for w in words if self.MARK in w]:
             self.memo[w] = self.whole(w)
@@ -71,24 +96,10 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        if not memo:
-            memo[""] = b""
-            self._learn([".", ","])
-        split = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for words in split if words is not None for w in words}.difference(memo)
-        base: dict[str, tuple[str, bytes]] = {}
-        letters = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
-        for w in fresh:
-            end = b""
-            core = w
-            if w[-1] in ".," and w[-2:-1] in letters:
-                core, end = w[:-1], memo[w[-1]]
-            if not core.islower() and core.isalpha() and "\u03a3" not in core and len(low := core.lower()) == len(core):
-                core = low
-            base[w] = core, end
-        self._learn(list({c for c, _ in base.values()}.difference(memo)))
-        for w, (core, end) in base.items():
-            memo[w] = memo[core] + end
+        memo[""] = b""
+        # The capital sigma folds by its place in the word in Python, and by itself in the tokenizer.
+        split = [None if "<|" in t or "\u03a3" in t else _STOP.sub(r" \g<0>", t.lower()).replace("\n", " ").split(" ") for t in texts]
+        self._learn(list(set().union(*filter(None, split)).difference(memo)))
         return [self.whole(t) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
