@@ -1 +1,5 @@
+"""Named queries. Importing this package registers them all."""
 
+from patchweave.plans import catalog, reports
+
+__all__ = ["catalog", "reports"]
