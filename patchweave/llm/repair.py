@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchweave.llm.common import pick, stage
+from patchweave.llm.transducer import byte_alphabet
 
 END_ID = 2
 #: Ids of a block; a block closes with the document that reaches it.
@@ -29,10 +31,17 @@ BLOCK_IDS = 1 << 20
 #: Rounds of pair replacement, pairs of a round, and how often a pair must occur.
 ROUNDS, PAIRS, LEAST = 4, 1024, 16
 #: Words that a worker remembers.
-MEMO = 900_000
+MEMO = 700_000
+#: Texts that are encoded together.
+TEXTS = 2048
 
 #: A stop that ends a word.
-_STOP = re.compile(r"[.,](?<=[a-z].)(?=[ \n])")
+_STOP = r"([a-z])([.,])([ \n])"
+#: Marks of special tokens, and the letters whose lower case depends on their place or is longer.
+_ODD = "<\\||\u03a3|\u0130"
+
+
+_BYTES = {b: c for c, b in byte_alphabet().items() if b != 32}
 
 
 class Encoder:
@@ -55,7 +64,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         mark = self.library.encode(self.MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        # Lower-case ASCII words are one pre-token each, so they can skip the normaliser; the last id of each ends a word.
+        # Words of lower-case letters are one pre-token each, so they can skip the normaliser; the last id of each ends a word.
         bare = json.loads(self.library.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}}
         self.bare = Tokenizer.from_str(json.dumps(bare))
         suffix = bare["model"].get("end_of_word_suffix") or "\0"
@@ -68,10 +77,13 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         """Ids of plain words, by the library."""
-        simple = [w for w in words if w.isalpha() and w.isascii() and w.islower()]
+        simple = [w for w in words if w.isalpha() and w.islower() and (w.isascii() or is_normalized("NFC", w))]
         for i in range(0, len(simple), 4096):
             part = simple[i : i + 4096]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            seen = " ".join(part)
+            if not seen.isascii():  # the vocabulary's stand-ins of bytes
+                seen = seen.encode("utf-8").decode("latin-1").translate(_BYTES)
+            ids = np.array(self.bare.encode_batch_fast([seen], add_special_tokens=False)[0].ids, "<u4")
             stop = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(stop) != len(part):
                 words = [*part, *words]  # not a vocabulary with word ends: the library's whole way below
@@ -91,16 +103,32 @@ class Encoder:
             raw = ids.tobytes()
             self.memo.update(zip(part, [raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)], strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Unsigned 32-bit ids of each text (null: none). Words are folded, split and numbered by Arrow's kernels."""
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
         memo[""] = b""
-        # The capital sigma folds by its place in the word in Python, and by itself in the tokenizer.
-        split = [None if "<|" in t or "\u03a3" in t else _STOP.sub(r" \g<0>", t.lower()).replace("\n", " ").split(" ") for t in texts]
-        self._learn(list(set().union(*filter(None, split)).difference(memo)))
-        return [self.whole(t) if words is None else b"".join(map(memo.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain = pc.if_else(pa.array(odd), "", texts)
+        words = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(pc.utf8_lower(plain), _STOP, r"\1 \2\3"), "\n", " "), " ")
+        numbered = words.flatten().dictionary_encode()
+        distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        self._learn([w for w in distinct if w not in memo])
+        pieces = list(map(memo.__getitem__, distinct))
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        n = size[at]
+        stop = np.cumsum(n)
+        source = np.repeat((np.cumsum(size) - size)[at] - stop + n, n)
+        source += np.arange(len(source))
+        flat = ids[source]
+        bound = np.concatenate(([0], stop))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        out = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -131,8 +159,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         counts = np.bincount(bucket, minlength=1 << 20)
         counts[0] = 0
         often = counts >= least
-        if often.sum() > pairs:
-            often &= counts >= np.partition(counts, -pairs)[-pairs]
+        if (many := counts[often]).size > pairs:
+            often &= counts >= np.partition(many, -pairs)[-pairs]
         at = np.flatnonzero(often[bucket])
         if not len(at):
             break
@@ -202,9 +230,9 @@ class Grammar:
 BLOCKS = "part int, block int, before long, n_ids long, base int, doc_ids binary, no_id binary, doc_stop binary, doc_len binary, rules binary, rule_len binary, seq binary"
 
 
-def _pack(part: int, block: int, before: int, docs: list, ids: list[bytes], base: int) -> pa.RecordBatch:
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    doc_len = np.array([len(x) // 4 for x in ids], np.int64)
+def _pack(part: int, block: int, before: int, docs: list, ids: list[np.ndarray], base: int) -> pa.RecordBatch:
+    flat = np.concatenate(ids)
+    doc_len = np.array([len(x) for x in ids], np.int64)
     ends = np.zeros(len(flat), bool)
     ends[np.cumsum(doc_len) - 1] = True
     seq, rules, lengths, stops = compress(flat, ends, base)
@@ -224,17 +252,16 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         base = enc.library.get_vocab_size()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.uint32(end_id)
         part = TaskContext.get().partitionId()
         block = before = held = 0
         docs_, ids = [], []
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for i in range(0, len(texts), 512):
-                for doc_id, x in zip(b.column(0).slice(i, 512).to_pylist(), enc.encode_all(texts[i : i + 512]), strict=True):
+            for i in range(0, b.num_rows, TEXTS):
+                for doc_id, x in zip(b.column(0).slice(i, TEXTS).to_pylist(), enc.encode_all(b.column(1).slice(i, TEXTS)), strict=True):
                     docs_.append(doc_id)
-                    ids.append(x + end)
-                    held += len(x) // 4 + 1
+                    ids.append(np.append(x, end))
+                    held += len(x) + 1
                     if held >= block_ids:
                         yield _pack(part, block, before, docs_, ids, base)
                         block, before, held, docs_, ids = block + 1, before + held, 0, [], []
