@@ -1,5 +1,5 @@
 """Named queries. Importing this package registers them all."""
 
-from patchweave.plans import catalog, reports
+from patchweave.plans import basics, catalog, reports
 
-__all__ = ["catalog", "reports"]
+__all__ = ["basics", "catalog", "reports"]
