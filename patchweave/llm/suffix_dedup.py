@@ -120,7 +120,8 @@ def _regions(data: np.ndarray, at: int):
     return h[anchor], _avalanche(whole + _MIX * windows.astype(np.uint64)), start + at, anchor - start, windows
 
 
-REGION_SCHEMA = "k long, r long, doc long, th long, start int, lead int, windows int, done boolean"
+#: ``w`` packs start, lead, windows and done, as small columns cost much in a shuffle of many rows.
+REGION_SCHEMA = "k long, r long, doc long, th long, w long"
 
 
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +155,9 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(key[s].astype(np.int64)), pa.array(r[s].astype(np.int64)), pa.array(doc[own[s]]), pa.array(th[own[s]]),
-                    pa.array(start[s].astype(np.int32)), pa.array(lead[s].astype(np.int32)), pa.array(windows[s].astype(np.int32)), pa.array(done[s]),
+                    pa.array((start[s] << 16 | lead[s] << 9 | windows[s] << 1 | done[s]).astype(np.int64)),
                 ],
-                ["k", "r", "doc", "th", "start", "lead", "windows", "done"],
+                ["k", "r", "doc", "th", "w"],
             )
 
 
@@ -401,10 +402,15 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int =
     base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), raw.alias("raw"))
     by_region = Window.partitionBy("done", "k", "r").orderBy("doc", "th", "start")
     by_anchor = Window.partitionBy("done", "k")
-    # One exchange by (done, k) serves all three windows.
+    # One exchange by k serves all three windows.
+    w = F.col("w")
     marked = (
         base.mapInArrow(_region_rows, REGION_SCHEMA)
-        .repartition("done", "k")
+        .repartition("k")
+        .select(
+            "k", "r", "doc", "th", F.shiftright(w, 16).cast("int").alias("start"), w.bitwiseAND(0xFFFF).cast("int").alias("low"), (w.bitwiseAND(1) == 1).alias("done")
+        )
+        .select("k", "r", "doc", "th", "start", F.shiftright("low", 9).alias("lead"), F.shiftright("low", 1).bitwiseAND(0xFF).alias("windows"), "done")
         .withColumn("again", F.rank().over(by_region) > 1)
         .withColumn("differs", F.min("r").over(by_anchor) != F.max("r").over(by_anchor))
         .where("done or again or differs")
