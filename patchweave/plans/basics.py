@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchweave.functions import scalar as S
@@ -237,11 +237,11 @@ def _(s, d):
 
 
 # -- joins -----------------------------------------------------------------------------------------------------------
-DIRECTED = "d as (select distinct l_suppkey % 60 as i, l_partkey % 60 as j from lineitem where l_linenumber = 1 and l_quantity < 8)"
+DIRECTED = "d as (select distinct l_orderkey as i, l_partkey as j from lineitem)"
 
 
 def _directed(s, d):
-    return read(s, d, "lineitem").where("l_linenumber = 1 and l_quantity < 8").select((F.col("l_suppkey") % 60).alias("i"), (F.col("l_partkey") % 60).alias("j")).distinct()
+    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j")).distinct()
 
 
 @register("join_reciprocal", f"with {DIRECTED} select a.i, a.j from d a join d b on a.i = b.j and a.j = b.i")
@@ -265,10 +265,8 @@ def _(s, d):
 
 @register("assign_hungarian")
 def _(s, d):
-    e = read(s, d, "events").where("event_id < 2000")
-    a = e.where("event_id % 2 = 0").select((F.col("user_id") % 40).alias("page"), F.col("event_id").alias("id"), F.col("value").alias("y"))
-    b = e.where("event_id % 2 = 1").select((F.col("user_id") % 40).alias("page"), F.col("event_id").alias("id"), F.col("value").alias("y"))
-    return J.assign_within(a, b, "page", 40.0)
+    e = read(s, d, "events").select(F.col("user_id").alias("page"), F.col("event_id").alias("id"), F.col("value").alias("y"))
+    return J.assign_within(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "page", 40.0)
 
 
 @register("join_equi_lookup", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
@@ -322,9 +320,9 @@ def _(s, d):
     return L.contingency(p, keep_unknown=False).join(q, "cluster").join(rep, "cluster").select("label", "cluster", "n", "rep", "purity")
 
 
-@register("join_coverage", f"with {DIRECTED}, e as (select distinct l_partkey % 60 as i, l_suppkey % 60 as j from lineitem where l_linenumber = 2 and l_quantity < 8) select round(avg(((i, j) in (select (i, j) from d))::int), 6) as recall from e")
+@register("join_coverage", f"with {DIRECTED}, e as (select distinct l_partkey as i, l_suppkey as j from lineitem) select round(avg(((i, j) in (select (i, j) from d))::int), 6) as recall from e")
 def _(s, d):
-    e = read(s, d, "lineitem").where("l_linenumber = 2 and l_quantity < 8").select((F.col("l_partkey") % 60).alias("i"), (F.col("l_suppkey") % 60).alias("j")).distinct()
+    e = read(s, d, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).distinct()
     a = _directed(s, d).withColumn("hit", F.lit(1))
     return e.join(a, ["i", "j"], "left").agg(r6(F.avg(F.coalesce("hit", F.lit(0))), "recall"))
 
