@@ -50,13 +50,18 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(per, "id", "left").crossJoin(n).select("id", d.alias("degree"), F.when(F.col("n_vertices") > 1, d / (F.col("n_vertices") - 1)).otherwise(0.0).alias("degree_centrality"), F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
+def _jumped(pointers: DataFrame) -> DataFrame:
+    """Pointers (a, m) two hops on; roots point at themselves."""
+    return pointers.join(pointers.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m", "left").select("a", F.coalesce("m2", "m").alias("m"))
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): smallest vertex of each connected piece, by contraction to the smallest neighbour round by round."""
+    """(id, component): smallest vertex of each connected piece, by contraction along smallest-neighbour pointers."""
     assign = vertices.select("id", F.col("id").alias("component"))
     e = _stage(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
     while not e.isEmpty():
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = _stage(_jumped(_jumped(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))), "least")
         moved = least.select(F.col("a").alias("component"), "m")
         assign = _stage(assign.join(moved, "component", "left").select("id", F.coalesce("m", "component").alias("component")), "assign")
         x, y = least.select("a", F.col("m").alias("x")), least.select(F.col("a").alias("b"), F.col("m").alias("y"))
@@ -177,21 +182,19 @@ def eigenvector(vertices: DataFrame, edges: DataFrame, rounds: int = 500, tol: f
 
 
 def spanning_tree(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Minimum spanning forest by contraction: every piece takes its lightest way out, ties by edge."""
-    assign = _stage(vertices.select("id", F.col("id").alias("piece")), "pieces")
-    left = _stage(edges.select("src", "dst", "weight"), "left")
+    """Minimum spanning forest by contraction: every piece takes its lightest way out, ties by edge; pieces then merge."""
+    left = _stage(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.struct("weight", "src", "dst").alias("o")), "out-edges")
     chosen = None
-    while True:
-        e = left.join(assign.select(F.col("id").alias("src"), F.col("piece").alias("a")), "src").join(assign.select(F.col("id").alias("dst"), F.col("piece").alias("b")), "dst").where("a <> b")
-        e = _stage(e, "out-edges")
-        if e.isEmpty():
-            return chosen if chosen is not None else left.limit(0)
-        out = e.select("a", F.struct("weight", "src", "dst").alias("o")).unionByName(e.select(F.col("b").alias("a"), F.struct("weight", "src", "dst").alias("o")))
-        best = out.groupBy("a").agg(F.min("o").alias("o")).select("o.src", "o.dst", "o.weight").distinct()
-        best = _stage(best, "tree-edges")
-        chosen = best if chosen is None else _stage(chosen.unionByName(best), "tree")
-        assign = components(vertices, chosen).withColumnRenamed("component", "piece")
-        left = e.select("src", "dst", "weight")
+    while not left.isEmpty():
+        ways = left.select("a", "o", F.col("b").alias("to")).unionByName(left.select(F.col("b").alias("a"), "o", F.col("a").alias("to")))
+        best = _stage(ways.groupBy("a").agg(F.min(F.struct("o", "to")).alias("w")).select("a", F.col("w.to").alias("to"), "w.o"), "ways-out")
+        new = best.select("o.src", "o.dst", "o.weight").distinct()
+        chosen = _stage(new if chosen is None else chosen.unionByName(new), "tree")
+        pieces = components(best.select(F.col("a").alias("id")), best.select(F.least("a", "to").alias("src"), F.greatest("a", "to").alias("dst")))
+        pa, pb = pieces.select(F.col("id").alias("a"), F.col("component").alias("x")), pieces.select(F.col("id").alias("b"), F.col("component").alias("y"))
+        merged = left.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "o")
+        left = _stage(merged.groupBy("a", "b").agg(F.min("o").alias("o")), "out-edges")
+    return chosen if chosen is not None else edges.select("src", "dst", "weight").limit(0)
 
 
 def fiedler_split(nb: list[list[int]]) -> np.ndarray:
