@@ -83,7 +83,7 @@ def label_components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarra
             both = (lab[a] > 0) & (lab[b] > 0)
             low = np.minimum(lab[a], lab[b])
             lab[a][both] = low[both]
-            lab[b][both] = low[both]
+            lab[b][both] = np.minimum(lab[b], low)[both]
         flat = lab.ravel()
         root = np.concatenate(([0], np.arange(1, mask.size + 1)))
         np.minimum.at(root, np.arange(1, mask.size + 1)[mask.ravel()], flat[mask.ravel()])

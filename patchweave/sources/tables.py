@@ -6,11 +6,11 @@ import logging
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
-PATCHES = T.StructType.fromDDL(
+#: Schema of the patch table over all stages, as DDL.
+PATCHES = (
     "patch_id bigint, page int, file string, `left` int, top int, width int, height int, label int, centroid struct<y:double,x:double>, page_skew double, reading_order bigint, "
     "bin_patch binary, svg string, char_chat string, conf_chat double, char_transcription string, char_consensus string, histogram array<array<float>>, membership bigint, membership_pre_split bigint, "
     "degree_centrality double, edge_weight_sum double"
