@@ -34,7 +34,7 @@ def test_entry_and_registry(spark):
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_against_duckdb(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
     rel = duck.sql(catalog.ORACLES[name])
     assert sorted(rel.columns) == cols
