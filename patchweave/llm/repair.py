@@ -140,12 +140,16 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Odd multipliers of the hash that counts pairs.
+_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
     """Re-Pair: (sequence, rules as rows of left and right, expansion length of each rule, index in the sequence of each document's end).
 
     ``ends`` marks the last id of each document; ``base`` is the first nonterminal.
     """
-    seq, end = ids.astype(np.int32), ends.copy()
+    seq, end = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     length_of = lambda s: np.where(s < base, 1, np.concatenate([*lengths, [0]])[np.maximum(s - base, 0)] if lengths else 1)
@@ -153,8 +157,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = seq[:-1].astype(np.uint64) << np.uint64(24) | seq[1:].astype(np.uint64)
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32)
+        bucket = seq[:-1] * _LEFT
+        bucket ^= seq[1:] * _RIGHT
+        bucket >>= np.uint32(12)
         bucket[end[:-1]] = 0  # a pair must not leave its document
         counts = np.bincount(bucket, minlength=1 << 20)
         counts[0] = 0
@@ -166,9 +171,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             break
         # One pair speaks for each bucket; which of several that share one does not matter.
         mine = bucket[at]
-        pair_of = np.zeros(1 << 20, np.uint64)
-        pair_of[mine] = key[at]
-        take = key[at] == pair_of[mine]
+        key = seq[at].astype(np.int64) << 24 | seq[at + 1]
+        pair_of = np.zeros(1 << 20, np.int64)
+        pair_of[mine] = key
+        take = key == pair_of[mine]
         at, mine = at[take], mine[take]
         n = np.bincount(mine, minlength=1 << 20)
         chosen = np.flatnonzero(n >= least)[:pairs]
@@ -176,13 +182,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             break
         number = np.full(1 << 20, -1, np.int32)
         number[chosen] = np.arange(len(chosen))
-        take = number[mine] >= 0
-        at, rule = at[take], number[mine[take]]
+        rule = number[mine]
+        if (rule < 0).any():
+            at, rule = at[rule >= 0], rule[rule >= 0]
         # Overlapping places form runs of neighbours; every other one of a run is replaced.
         head = np.concatenate(([True], np.diff(at) != 1))
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, rule = at[run % 2 == 0], rule[run % 2 == 0]
-        pair = np.stack([pair_of[chosen] >> np.uint64(24), pair_of[chosen] & np.uint64((1 << 24) - 1)], 1).astype(np.int64)
+        pair = np.stack([pair_of[chosen] >> 24, pair_of[chosen] & ((1 << 24) - 1)], 1)
         new = length_of(pair[:, 0]) + length_of(pair[:, 1])
         seq[at] = base + n_rules + rule
         end[at] = end[at + 1]
@@ -213,18 +220,17 @@ class Grammar:
                     p, n = int(self.offset[s - base]), int(lengths[s - base])
                     flat[o : o + n] = flat[p : p + n]
                     o += n
-        self.flat = flat
+        # One table of all symbols: terminals stand for themselves, expansions follow.
+        self.table = np.concatenate([np.arange(base, dtype=np.uint32), flat])
+        self.start = np.concatenate([np.arange(base), base + self.offset[:-1]])
+        self.size = np.concatenate([np.ones(base, np.int64), lengths])
 
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        rule = seq >= self.base
-        r = np.where(rule, seq - self.base, 0).astype(np.int64)
-        n = np.where(rule, self.lengths[r] if len(self.lengths) else 1, 1)
-        out = np.repeat(seq, n).astype(np.uint32)
-        if rule.any():
-            inside = np.repeat(rule, n)
-            first = np.repeat(np.cumsum(n) - n, n)
-            out[inside] = self.flat[(np.repeat(self.offset[r], n) + np.arange(len(out)) - first)[inside]]
-        return out
+        n = self.size[seq]
+        stop = np.cumsum(n)
+        at = np.repeat(self.start[seq] - stop + n, n)
+        at += np.arange(len(at))
+        return self.table[at]
 
 
 BLOCKS = "part int, block int, before long, n_ids long, base int, doc_ids binary, no_id binary, doc_stop binary, doc_len binary, rules binary, rule_len binary, seq binary"
