@@ -7,6 +7,7 @@ of trusted documents of its language. A model has at most 64**4 entries, so it i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -158,18 +159,19 @@ def dense_log(model: list[tuple[tuple, tuple]]) -> np.ndarray:
     return -np.log(np.maximum(below, 1e-12))
 
 
-_dense: dict[int, np.ndarray] = {}
+#: The table of the model that a worker used last, by the model's name.
+_dense: dict[str, np.ndarray] = {}
 
 
 def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
     """doc_id, lang, th, n_symbols, perplexity of every row; null for a null or empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model_of(counts))
+    shared, name = docs.sparkSession.sparkContext.broadcast(model_of(counts)), uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(shared) not in _dense:
+        if name not in _dense:
             _dense.clear()
-            _dense[id(shared)] = dense_log(shared.value)
-        cost = _dense[id(shared)]
+            _dense[name] = dense_log(shared.value)
+        cost = _dense[name]
         for b in batches:
             texts = [t or "" for t in b.column(3).to_pylist()]
             n, loss = [], []
