@@ -383,7 +383,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return inter.astype(np.int64)
 
 
-def similar(docs: DataFrame, runs: int = RUNS) -> DataFrame:
+def similar(docs: DataFrame) -> DataFrame:
     """doc_id, th (text hash), n_shingles, class_id, n_links for every row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is 0.8 or more; ``n_links`` counts the

@@ -27,7 +27,7 @@ from patchweave.llm.common import pick
 #: Characters of a chunk.
 CHUNK = 1 << 16
 #: Entries after which a worker forgets its memo of pre-tokens, and transitions after which it forgets states.
-MEMO, TRANSITIONS = 400_000, 1_500_000
+MEMO, TRANSITIONS = 400_000, 800_000
 
 # The pre-token pattern of this tokenizer family, with white space as Unicode defines it.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
