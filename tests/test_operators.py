@@ -341,3 +341,30 @@ def test_page_stream(spark, tmp_path):
     q = pages.ingest(pages.page_stream(spark, src, "page int, x int"), lambda df: df.groupBy("page").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted((r.page, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(0, 4), (1, 4), (2, 4)]
+
+
+def test_sweep_finds_the_planted_partition(spark):
+    from patchweave.plans.sweep import Sweep, best
+
+    r = np.random.default_rng(6)
+    centres = np.eye(4)[[0, 1, 2]]
+    x = [(i, str(i % 3), np.abs(centres[i % 3] + r.normal(size=4) * 0.03).tolist()) for i in range(45)]
+    items = spark.createDataFrame(x, "id long, label string, v array<double>")
+    shape = lambda df: df.select("id", F.array("v").alias("hist"))
+    grid = Sweep({"plain": shape}, epsilons=[300.0, 600.0], gammas=[0.3], kernel="l2").run(items)
+    top = best(grid).first()
+    assert grid.count() == 2 and top.ari == 1.0 and top.n_clusters == 3
+
+
+def test_pca_rematch_and_linkage_step(spark):
+    r = np.random.default_rng(9)
+    rows = [(i, i % 2, (np.array([4.0 * (i % 2), 0, 0]) + r.normal(size=3)).tolist()) for i in range(40)] + [(100, 100, [4.1, 0.1, 0.0]), (101, 101, [90.0, 90.0, 90.0])]
+    df = spark.createDataFrame(rows, "id long, cluster long, vec array<double>")
+    got = {x.id: x.cluster for x in R.pca_rematch(df, small=1, k=3).collect()}
+    assert got[100] == 1 and got[101] == 101 and got[0] == 0
+    pts = [(i, 7, "ab"[i // 4], float(10 * (i // 4) + i % 4)) for i in range(8)]
+    t = spark.createDataFrame(pts, "id long, cluster long, label string, x double")
+    res = R.linkage_split(t, lambda p: np.abs(p.x.to_numpy()[:, None] - p.x.to_numpy()[None]), 2, [0.5, 4.0, 50.0])
+    assert res.info["height"] == 4.0 and res.info["ari"] == 1.0
+    assert {x.id: x.cluster for x in res.membership.collect()} == {i: 4 * (i // 4) for i in range(8)}
+    assert [(x.n_sub, x["size"]) for x in res.log.collect()] == [(2, 8)]
