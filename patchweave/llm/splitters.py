@@ -99,7 +99,9 @@ def shard(docs: DataFrame, n_shards: int = 16, ranges_per_shard: int = RANGES_PE
         ranged.withColumn("group_bytes", F.sum("size").over(group))
         .withColumn("group_start", F.sum("size").over(peers) - F.col("group_bytes"))
         .withColumn("row_start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("at", base + F.when(F.col("group_bytes") > F.lit(fair / 2), F.col("row_start")).otherwise(F.col("group_start")))
+        .withColumn("alone", F.col("group_bytes") > F.lit(fair / 2))
+        # the middle decides, so a boundary is missed by half of what lies across it at most
+        .withColumn("at", base + F.when(F.col("alone"), F.col("row_start") + F.col("size") / 2).otherwise(F.col("group_start") + F.col("group_bytes") / 2))
         .withColumn("shard", to_shard(F.col("at")))
         .withColumn("seq", F.row_number().over(Window.partitionBy("range", "shard").orderBy("h", "t", "doc_id", "size")).cast("long"))
     )
