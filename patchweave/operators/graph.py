@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,15 +56,46 @@ def _jumped(pointers: DataFrame) -> DataFrame:
     return pointers.join(pointers.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m", "left").select("a", F.coalesce("m2", "m").alias("m"))
 
 
+#: Edges (16 bytes each) up to which one task finishes the contraction; larger graphs are contracted by joins first.
+FINISH_EDGES = 1_000_000
+
+
+def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, m): the smallest vertex of each vertex's piece, of a graph that fits one task."""
+    parts = list(batches)
+    if not parts:
+        return
+    e = pd.concat(parts)
+    ids, flat = np.unique(np.concatenate([e.a.to_numpy(), e.b.to_numpy()]), return_inverse=True)
+    a, b = flat[: len(e)], flat[len(e) :]
+    root = np.arange(len(ids))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        np.minimum.at(root, before, root)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == before).all():
+            break
+    yield pd.DataFrame({"a": ids, "m": ids[root]})
+
+
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): smallest vertex of each connected piece, by contraction along smallest-neighbour pointers."""
     assign = vertices.select("id", F.col("id").alias("component"))
     e = _stage(edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "edges")
-    while not e.isEmpty():
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _stage(_jumped(_jumped(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))), "least")
+    while n := e.count():
+        if n <= FINISH_EDGES:
+            least = _stage(e.coalesce(1).mapInPandas(_finish, "a long, m long"), "least")
+        else:
+            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = _stage(_jumped(_jumped(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))), "least")
         moved = least.select(F.col("a").alias("component"), "m")
         assign = _stage(assign.join(moved, "component", "left").select("id", F.coalesce("m", "component").alias("component")), "assign")
+        if n <= FINISH_EDGES:
+            break
         x, y = least.select("a", F.col("m").alias("x")), least.select(F.col("a").alias("b"), F.col("m").alias("y"))
         e = _stage(e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     return assign

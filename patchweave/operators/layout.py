@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -113,19 +115,27 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int | None, int |
 def align(patches: DataFrame, transcript: DataFrame) -> DataFrame:
     """(id, page, aligned): the transcript's character for each read one; the unknown mark where the script deletes it.
 
-    ``patches`` has id, page, reading_order, char; ``transcript`` page, text. Unknown or longer readings match nothing.
+    ``patches`` has id, page, reading_order, char; ``transcript`` page, text, one row a page. Unknown or longer readings
+    match nothing.
     """
 
-    def page(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"id": [], "page": [], "aligned": []}).astype({"id": "int64", "page": "int64", "aligned": "object"})
-        left = left.sort_values(["reading_order", "id"])
-        read = [c if isinstance(c, str) and len(c) == 1 and c != UNKNOWN else PLACEHOLDER for c in left.char]
-        text = list("".join(t for t in right.text if isinstance(t, str)))
-        got = [UNKNOWN] * len(read)
-        for op, i, j in edit_script(read, text):
-            if op in ("equal", "replace"):
-                got[i] = text[j]
-        return pd.DataFrame({"id": left.id.to_numpy(), "page": left.page.to_numpy(), "aligned": got})
-
-    return patches.groupBy("page").cogroup(transcript.groupBy("page")).applyInPandas(page, "id long, page long, aligned string")
+    read = patches.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("reading_order", "id", "char"))).alias("read"))
+    text = transcript.where("text is not null").groupBy("page").agg(F.array_join(F.sort_array(F.collect_list("text")), "").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ids, page_of, got = [], [], []
+            for page, read_, text_ in zip(b.page, b["read"], b.text, strict=True):
+                chars = [c if isinstance(c, str) and len(c) == 1 and c != UNKNOWN else PLACEHOLDER for c in (r["char"] for r in read_)]
+                target = list(text_) if isinstance(text_, str) else []
+                out = [UNKNOWN] * len(chars)
+                for op, i, j in edit_script(chars, target):
+                    if op in ("equal", "replace"):
+                        out[i] = target[j]
+                ids += [r["id"] for r in read_]
+                page_of += [page] * len(out)
+                got += out
+            yield pd.DataFrame({"id": ids, "page": page_of, "aligned": got})
+
+    # A page is one row, so many pages share a batch.
+    return read.join(text, "page", "left").select("page", "read", "text").mapInPandas(run, "id long, page long, aligned string")

@@ -114,8 +114,9 @@ def test_graph_on_two_triangles(spark):
     assert side[0] == side[1] == side[2] != side[3] == side[4] == side[5]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_tree_and_components_against_plain(spark, seed):
+@pytest.mark.parametrize("seed,finish", [(1, 10**6), (2, 10**6), (3, 5)])
+def test_tree_and_components_against_plain(spark, monkeypatch, seed, finish):
+    monkeypatch.setattr(G, "FINISH_EDGES", finish)
     r = random.Random(seed)
     n = 40
     e = {(min(a, b), max(a, b)): float(r.randint(1, 5)) for a, b in ((r.randrange(n), r.randrange(n)) for _ in range(45)) if a != b}
