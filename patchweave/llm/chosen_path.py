@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import pick, stage, wrapped
 from patchweave.llm.suffix_dedup import PrefixHashes, _avalanche
 
 WORDS = 5
@@ -384,11 +384,11 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, th (text hash), n_shingles, class_id, n_links for every row of ``docs``.
+    """doc_id, th (text hash), n_shingles, class_id, n_links, root for every row of ``docs``.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is 0.8 or more; ``n_links`` counts the
     other rows that a row is linked to, copies included, and ``class_id`` is the smallest doc_id of its connected class
-    (null if no row of it has an id). A text of one to four words is one shingle; a null text, or one without words,
+    (null if no row of it has an id). ``root`` names the class itself, as ids may repeat; it is null without words. A text of one to four words is one shingle; a null text, or one without words,
     has none, no links, and its own id as class. Repeated rows are linked to each other. An empty table gives no rows;
     extra columns are ignored; very long texts are taken whole.
     """
@@ -433,13 +433,14 @@ def similar(docs: DataFrame) -> DataFrame:
     roots = connected(verified.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     named = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "weight", "least", F.coalesce("root", "sid").alias("root"))
     classes = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    info = named.join(classes, "root").join(links, "sid", "left").select("sid", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = named.join(classes, "root").join(links, "sid", "left").select("sid", "root", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return signed.join(info, "sid", "left").select(
         F.col("doc").alias("doc_id"),
         "th",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "root",
     )
 
 
@@ -466,11 +467,11 @@ def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` less all but one document of each class: the smallest id stays, of equal ids the smallest text hash.
 
-    Rows of a class without any id are told apart by text; of wholly equal rows one stays.
+    Rows without words are told apart by id and text; of wholly equal rows one stays.
     """
     found = similar(docs)
-    group = F.coalesce(F.col("class_id").cast("string"), F.concat(F.lit("text:"), F.col("th")))
-    stays = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th").distinct()
-    mine = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    kept = mine.join(stays, mine["doc_id"].cast("long").eqNullSafe(stays["doc_id"]) & (mine["_hash"] == stays["th"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    own = F.when(F.col("root").isNull(), F.struct("doc_id", "th"))
+    stays = found.groupBy("root", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th").distinct()
+    mine = wrapped(docs).withColumn("hash", F.xxhash64("text")).alias("m")
+    kept = mine.join(stays.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.hash") == F.col("s.th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")

@@ -34,6 +34,46 @@ BATCH_ROWS = 1024
 _ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Sets small Arrow batches, unless the session has a setting of its own."""
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _positions(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed by position, and where each name is found: as written, else in lower case."""
+    by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    found: dict[str, str] = {}
+    for i, c in enumerate(df.columns):
+        found.setdefault(c, f"c{i}")
+    for i, c in enumerate(df.columns):
+        found.setdefault(c.lower(), f"c{i}")
+    return by_place, found
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Only the named columns, cast; a column the input lacks is null. Extra columns of any name are ignored."""
+    by_place, found = _positions(df)
+    return by_place.select(*[(F.col(found[n]) if n in found else F.lit(None)).cast(kind).alias(n) for n, kind in columns.items()])
+
+
+def wrapped(df: DataFrame) -> DataFrame:
+    """row (a struct of all columns), doc_id, source, text: keys beside the rows, so that no name can clash.
+
+    ``select("row.*")`` gives the rows back.
+    """
+    by_place, found = _positions(df)
+    row = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]).alias("row")
+    get = lambda n, kind: (F.col(found[n]) if n in found else F.lit(None)).cast(kind).alias(n)
+    return by_place.select(row, get("doc_id", "long"), get("source", "string"), get("text", "string"))
+
+
+#: Rows of an Arrow batch. Documents are wide, so the default of 10,000 makes batches of tens of megabytes.
+BATCH_ROWS = 1024
+_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder. Sets small Arrow batches, unless the session has a setting of its own."""
     if spark.conf.get(_ROWS_KEY) == "10000":

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import pick, stage, wrapped
 
 WINDOW = 10
 #: Windows of one block: what is broadcast at a time. About 150 bytes each, so under 8 MB whatever the benchmark's size.
@@ -110,8 +110,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark."""
     bad = contamination(docs, items, window).where("n_hit > 0").select("doc_id", "text_hash").distinct()
-    mine = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    return mine.join(bad, mine["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (mine["_hash"] == bad["text_hash"]), "left_anti").select(*docs.columns)
+    mine = wrapped(docs).withColumn("hash", F.xxhash64("text")).alias("m")
+    return mine.join(bad.alias("b"), F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.hash") == F.col("b.text_hash")), "left_anti").select("row.*")
 
 
 ORACLE = r"""

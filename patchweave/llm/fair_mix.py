@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import pick, stage, wrapped
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_PASSES = 3
@@ -97,19 +97,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, n_ranges: int | None = None) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as the mix takes it, range-sorted by virtual finish time."""
-    plan = mix(docs, weights, share).groupBy("source", "key").agg(F.first("passes").alias("_passes"), F.first("finish").alias("_finish"), F.first("source_size").alias("_ss"), F.first("target").alias("_target"))
-    columns = docs.columns
-    keyed = docs.withColumn("_key", shuffle_key(F.col("doc_id").cast("long"), F.col("text")))
+    plan = (
+        mix(docs, weights, share).where("passes > 0").groupBy("source", "key")
+        .agg(F.first("passes").alias("passes"), F.first("finish").alias("finish"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    )
+    keyed = wrapped(docs).withColumn("key", shuffle_key(F.col("doc_id"), F.col("text"))).alias("d")
+    step = F.when(F.col("target") > 0, F.col("pass") * F.col("source_size") / F.col("target")).otherwise(0.0)
     entries = (
-        keyed.alias("d")
-        .join(plan.where("_passes > 0").alias("m"), (F.col("d._key") == F.col("m.key")) & F.col("d.source").eqNullSafe(F.col("m.source")))
-        .select(*[F.col(f"d.`{c}`") for c in columns], "_passes", "_finish", "_ss", "_target")
-        .withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_passes") - 1)))
-        .withColumn("_finish", F.col("_finish") + F.when(F.col("_target") > 0, F.col("_pass") * F.col("_ss") / F.col("_target")).otherwise(0.0))
+        keyed.join(plan.alias("m"), (F.col("d.key") == F.col("m.key")) & F.col("d.source").eqNullSafe(F.col("m.source")))
+        .select("row", "doc_id", "finish", "source_size", "target", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
+        .select("row", "doc_id", (F.col("finish") + step).alias("at"))
     )
-    at = [F.col("_finish"), F.col("doc_id")]
-    ranged = entries.repartitionByRange(n_ranges, *at) if n_ranges else entries.repartitionByRange(*at)
-    return ranged.sortWithinPartitions(*at).select(*columns)
+    ranged = entries.repartitionByRange(n_ranges, "at", "doc_id") if n_ranges else entries.repartitionByRange("at", "doc_id")
+    return ranged.sortWithinPartitions("at", "doc_id").select("row.*")
 
 
 ORACLE = """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import pick, stage, wrapped
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -224,5 +224,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
     bad = classify(docs, labels).where(~F.col("keep")).select("doc_id", "th").distinct()
-    mine = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    return mine.join(bad, mine["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (mine["_hash"] == bad["th"]), "left_anti").select(*docs.columns)
+    mine = wrapped(docs).withColumn("hash", F.xxhash64("text")).alias("m")
+    return mine.join(bad.alias("b"), F.col("m.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("m.hash") == F.col("b.th")), "left_anti").select("row.*")
