@@ -475,3 +475,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     mine = wrapped(docs).withColumn("hash", F.xxhash64("text")).alias("m")
     kept = mine.join(stays.alias("s"), F.col("m.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("m.hash") == F.col("s.th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "hash"]).select("row.*")
+
+
+#: The same by brute force: shingle sets joined on every shingle, classes by a recursive walk.
+ORACLE = r"""
+with recursive w as (
+  select row_number() over () as r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+s as (
+  select distinct r, array_to_string(list_slice(words, i, i + 4), ' ') as shingle
+  from (select r, words, unnest(generate_series(1, greatest(len(words) - 4, 1))) as i from w where len(words) > 0)),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as x, b.r as y, count(*) as c from s a join s b on a.shingle = b.shingle and a.r < b.r group by a.r, b.r),
+l as (select x, y from p join n a on a.r = x join n b on b.r = y where 9 * c >= 4 * (a.n + b.n)),
+e as (select x, y from l union all select y, x from l),
+k as (select r, r as c from w union select e.y, k.c from k join e on e.x = k.r),
+g as (select k.r, min(doc_id) as class_id from k join w on w.r = k.c group by k.r)
+select doc_id, class_id, (select count(*) from e where e.x = w.r)::bigint as n_links, coalesce(n, 0)::int as n_shingles
+from w join g using (r) left join n using (r)
+"""

@@ -64,4 +64,4 @@ def op10_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_audio, op2_transducer, op3_suffix_dedup, op4_chosen_path, op5_repair, op6_kneser_ney, op7_decontaminate, op8_url_filter, op9_fair_mix, op10_splitters)}
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}
+ORACLES = {"op3_suffix_dedup": suffix_dedup.ORACLE, "op4_chosen_path": chosen_path.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_fair_mix": fair_mix.ORACLE}

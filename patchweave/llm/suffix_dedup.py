@@ -435,3 +435,20 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int =
         .groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     )
     return base.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc", "raw", "spans").mapInArrow(_apply(with_kept), RESULT_SCHEMA)
+
+
+#: The same by brute force over every 100-byte string, two hexadecimal digits a byte.
+ORACLE = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+n as (select doc_id, h, length(h) // 2 as n from d),
+w as (select doc_id, p, substr(h, 2 * p - 1, 200) as s from (select doc_id, h, unnest(generate_series(1, n - 99)) as p from n where n >= 100)),
+f as (select s, min(doc_id * 4294967296 + p) as first_at from w group by s),
+dup as (select doc_id, p from w join f using (s) where doc_id * 4294967296 + p > first_at),
+pos as (select doc_id, substr(h, 2 * p - 1, 2) as b, p from (select doc_id, h, unnest(generate_series(1, n)) as p from n)),
+m as (select pos.doc_id, pos.p, b, max(dup.p) over (partition by pos.doc_id order by pos.p) as last_at from pos left join dup on pos.doc_id = dup.doc_id and pos.p = dup.p),
+k as (select doc_id, p, b, coalesce(p - last_at < 100, false) as gone from m),
+r as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by p), false) as opens from k),
+g as (select doc_id, count(*) filter (gone) as n_removed, count(*) filter (opens) as n_spans, coalesce(string_agg(b, '' order by p) filter (not gone), '') as kept from r group by doc_id)
+select n.doc_id, n.n::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from n left join g using (doc_id)
+"""
