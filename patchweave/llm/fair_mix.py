@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     virtual time 1, so the global order is cut there: ``passes`` (0 to 3) counts entries up to 1, and ``taken`` is
     passes * size. The middle of the span decides, so a source comes within half a document of its target.
 
-    Texts that are null or empty have size 0 and take nothing from the budget. A null source is a source of its own, last in order.
+    Texts that are null or empty have size 0, take nothing from the budget and are not repeated. A null source is a source of its own, last in order.
     Rows of one source with equal ids (without an id: equal texts) are one unit of the order and get equal passes. An
     empty table gives no rows. Extra columns are ignored. The order depends on ids alone, so reruns agree.
     """
@@ -82,6 +82,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     middle = F.col("base") + F.col("upto") - F.col("unit") / 2
     joined = p.alias("p").join(r.alias("r"), F.col("p.source").eqNullSafe(F.col("r.source")) & (F.col("p.piece") == F.col("r.piece")))
     passes = sum(F.when(middle + i * F.col("source_size") <= F.col("target"), 1).otherwise(0) for i in range(MAX_PASSES))
+    passes = F.when(F.col("unit") == 0, F.least(passes, F.lit(1))).otherwise(passes)
     return joined.select(
         "doc_id",
         F.col("p.source").alias("source"),
