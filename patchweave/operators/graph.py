@@ -31,11 +31,11 @@ def edges_of(directed: DataFrame, reciprocal: bool, weight: str = "nlfa") -> Dat
     """Undirected edges of directed pairs (i, j, weight columns), self loops dropped.
 
     Reciprocal: both directions are needed and the weights are averaged. Otherwise either direction makes an edge, and
-    of two the one from the smaller id gives the weight.
+    of two the one from the larger id gives the weight.
     """
     d = directed.where("i <> j").select("i", "j", (F.lit(1.0) if weight == "one" else F.col(weight)).alias("w"))
-    flat = d.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), (F.col("i") < F.col("j")).alias("up"), "w")
-    g = flat.groupBy("src", "dst").agg(F.count_distinct("up").alias("k"), F.avg("w").alias("mean"), F.max(F.struct("up", "w"))["w"].alias("first"))
+    flat = d.select(F.least("i", "j").alias("src"), F.greatest("i", "j").alias("dst"), (F.col("i") > F.col("j")).alias("down"), "w")
+    g = flat.groupBy("src", "dst").agg(F.count_distinct("down").alias("k"), F.avg("w").alias("mean"), F.max(F.struct("down", "w"))["w"].alias("first"))
     return (g.where("k = 2").select("src", "dst", F.col("mean").alias("weight")) if reciprocal else g.select("src", "dst", F.col("first").alias("weight")))
 
 

@@ -94,7 +94,7 @@ def label_components(mask: np.ndarray, diagonal: bool = True) -> tuple[np.ndarra
     return np.where(lab > 0, np.searchsorted(names, lab) + 1, 0), len(names)
 
 
-def ink_filter(mask: np.ndarray, min_ink: int, min_hole: int) -> np.ndarray:
+def ink_filter(mask: np.ndarray, min_ink: int = 50, min_hole: int = 50) -> np.ndarray:
     """Small foreground pieces removed, small enclosed holes filled."""
     lab, n = label_components(mask)
     keep = np.concatenate(([False], np.bincount(lab.ravel(), minlength=n + 1)[1:] >= min_ink))

@@ -80,6 +80,14 @@ def cell(kernel, q, k):
     return min(np.abs(x - c).mean() for c in [0.0, *x[1:-1]])
 
 
+def test_directed_pairs_to_edges(spark):
+    d = spark.createDataFrame([(1, 2, 5.0), (2, 1, 7.0), (3, 4, 1.0), (6, 5, 2.0), (8, 8, 9.0)], "i long, j long, nlfa double")
+    either = {(r.src, r.dst): r.weight for r in G.edges_of(d, reciprocal=False).collect()}
+    assert either == {(1, 2): 7.0, (3, 4): 1.0, (5, 6): 2.0}
+    assert [(r.src, r.dst, r.weight) for r in G.edges_of(d, reciprocal=True).collect()] == [(1, 2, 6.0)]
+    assert {r.weight for r in G.edges_of(d, False, "one").collect()} == {1.0}
+
+
 def test_significance():
     assert math.isclose(-S.log_ndtr(np.array([0.0]))[0], math.log(2))
     assert abs(-S.log_ndtr(np.array([-40.0]))[0] - 804.6) < 0.1
