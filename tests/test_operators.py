@@ -377,3 +377,19 @@ def test_pca_rematch_and_linkage_step(spark):
     assert res.info["height"] == 4.0 and res.info["ari"] == 1.0
     assert {x.id: x.cluster for x in res.membership.collect()} == {i: 4 * (i // 4) for i in range(8)}
     assert [(x.n_sub, x["size"]) for x in res.log.collect()] == [(2, 8)]
+
+
+def test_component_archives(spark, tmp_path):
+    from patchweave.sources import components as C
+
+    raster = np.zeros((6, 8), np.int32)
+    raster[1:3, 2:6], raster[4, 0], raster[5, 7] = 1, 2, 3
+    (tmp_path / "page_4.npz").write_bytes(C.archive(raster, {2: "area_too_small"}, {3: 1}))
+    old = {"_nLabels": 2, "_labels": raster, "_deleted_labels": np.array([3]), "_delete_reason": np.array(["too_large"])}
+    np.savez_compressed(tmp_path / "page_5.npz", **old)
+    got = {(r.page, r.label): r for r in C.read_components(spark, str(tmp_path)).collect()}
+    a = got[4, 1]
+    assert (a.left_, a.top, a.width, a.height, a.area, a.cy, a.cx, a.deleted) == (2, 1, 4, 2, 8, 1.5, 3.5, False)
+    assert got[4, 2].reason == "area_too_small" and got[4, 3].merged_into == 1 and got[5, 3].reason == "too_large" and not got[5, 1].deleted
+    with pytest.raises(ValueError, match="background"):
+        C.archive(raster, {0: "x"})
