@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable, Iterator
 
@@ -237,3 +238,50 @@ def pca(x: np.ndarray, k: int, standardise: bool = False) -> tuple[np.ndarray, n
     sign = np.sign(vt[np.arange(k), np.abs(vt[:k]).argmax(1)])
     total = (s * s).sum()
     return u[:, :k] * s[:k] * sign, (s * s / total)[:k] if total else np.zeros(k)
+
+
+def crop(img: np.ndarray, left: int, top: int, width: int, height: int, mask: np.ndarray | None = None, fill: float = 0.0) -> np.ndarray:
+    """A box of an image, what lies beyond the edge filled; with a mask, pixels outside it are filled too."""
+    out = np.full((height, width), fill, img.dtype)
+    y0, x0 = max(top, 0), max(left, 0)
+    y1, x1 = min(top + height, img.shape[0]), min(left + width, img.shape[1])
+    if y0 < y1 and x0 < x1:
+        part = img[y0:y1, x0:x1]
+        out[y0 - top : y1 - top, x0 - left : x1 - left] = part if mask is None else np.where(mask[y0:y1, x0:x1], part, fill)
+    return out
+
+
+def place(canvas: np.ndarray, img: np.ndarray, left: int, top: int) -> np.ndarray:
+    """A copy of the canvas with the image at (left, top), clipped to the canvas."""
+    out = canvas.copy()
+    y0, x0 = max(top, 0), max(left, 0)
+    y1, x1 = min(top + img.shape[0], out.shape[0]), min(left + img.shape[1], out.shape[1])
+    if y0 < y1 and x0 < x1:
+        out[y0:y1, x0:x1] = img[y0 - top : y1 - top, x0 - left : x1 - left]
+    return out
+
+
+def barycentre(mask: np.ndarray) -> tuple[float, float]:
+    """(x, y) centre of mass; the middle of an empty mask."""
+    m = np.asarray(mask, float)
+    total = m.sum()
+    if total == 0:
+        return (m.shape[1] - 1) / 2, (m.shape[0] - 1) / 2
+    return float((m.sum(0) * np.arange(m.shape[1])).sum() / total), float((m.sum(1) * np.arange(m.shape[0])).sum() / total)
+
+
+def watershed(score: np.ndarray, low: float, high: float) -> tuple[np.ndarray, int]:
+    """Pieces of score > high grown over score > low, highest score first; a pixel joins the piece that reaches it first."""
+    seeds, n = label_components(score > high, diagonal=False)
+    out = seeds.copy()
+    heap = [(-float(score[y, x]), k, int(y), int(x)) for k, (y, x) in enumerate(zip(*np.nonzero(seeds), strict=True))]
+    heapq.heapify(heap)
+    k = len(heap)
+    while heap:
+        _, _, y, x = heapq.heappop(heap)
+        for v, u in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= v < out.shape[0] and 0 <= u < out.shape[1] and not out[v, u] and score[v, u] > low:
+                out[v, u] = out[y, x]
+                heapq.heappush(heap, (-float(score[v, u]), k, v, u))
+                k += 1
+    return out, n

@@ -225,3 +225,22 @@ def register_pairs(pairs: DataFrame, kind: str = "translation", levels: int = 1)
             yield pd.DataFrame(rows, columns=["id", "m", "residual"])
 
     return pairs.select("id", "a", "b").mapInPandas(run, "id long, m array<double>, residual double")
+
+
+def registered(metric, kind: str = "similarity", skip_above: float = math.inf, levels: int = 1):
+    """A metric of two masks after registration of the second to the first.
+
+    Pairs that are further apart than ``skip_above`` as they are need no registration, which is the slow part; a failed
+    registration counts as the identity.
+    """
+
+    def distance(a: np.ndarray, b: np.ndarray) -> float:
+        before = metric(a, b)
+        if before > skip_above:
+            return before
+        m, r = multiscale(a.astype(float), b.astype(float), kind, levels)
+        if not math.isfinite(r):
+            return before
+        return metric(a, warp(b.astype(float), m) > 0.5)
+
+    return distance

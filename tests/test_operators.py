@@ -393,3 +393,42 @@ def test_component_archives(spark, tmp_path):
     assert got[4, 2].reason == "area_too_small" and got[4, 3].merged_into == 1 and got[5, 3].reason == "too_large" and not got[5, 1].deleted
     with pytest.raises(ValueError, match="background"):
         C.archive(raster, {0: "x"})
+
+
+def test_crop_place_barycentre_watershed():
+    x = np.arange(12.0).reshape(3, 4)
+    assert I.crop(x, -1, 1, 3, 3).tolist() == [[0, 4, 5], [0, 8, 9], [0, 0, 0]]
+    assert I.crop(x, 0, 0, 2, 1, mask=np.eye(3, 4, dtype=bool)).tolist() == [[0, 0]] and I.crop(x, 9, 9, 2, 2).sum() == 0
+    assert I.place(np.zeros((2, 2)), np.ones((2, 2)), 1, -1).tolist() == [[0, 1], [0, 0]]
+    assert I.barycentre(np.zeros((3, 5))) == (2.0, 1.0) and I.barycentre(np.eye(3)) == (1.0, 1.0)
+    score = np.array([[0.9, 0.6, 0.5, 0.7, 0.95, 0.1]])
+    lab, n = I.watershed(score, 0.4, 0.8)
+    assert n == 2 and lab.tolist() == [[1, 1, 2, 2, 2, 0]]
+
+
+def test_registered_metric():
+    a = smooth_noise((32, 32), 8) > 0.5
+    b = np.roll(a, 2, 1)
+    d = REG.registered(I.hamming, "translation")
+    assert d(a, b) < 0.5 * I.hamming(a, b) and d(a, a) < 0.01
+    assert REG.registered(I.hamming, "translation", skip_above=0.0)(a, b) == I.hamming(a, b)
+
+
+def test_stage_chain(spark, tmp_path):
+    from patchweave.plans.stages import Chain
+
+    ran = []
+
+    def add(name):
+        def fn(s, df):
+            ran.append(name)
+            return s.range(3).withColumn("x", F.lit(0)) if df is None else df.withColumn("x", F.col("x") + 1)
+
+        return name, fn
+
+    c = Chain([add("a"), add("b"), add("c")], str(tmp_path))
+    assert c.run(spark).select("x").distinct().collect()[0][0] == 2
+    assert c.run(spark, only="b").first().x == 1 and c.run(spark, start="c").first().x == 2
+    assert ran == ["a", "b", "c", "b", "c"]
+    with pytest.raises(ValueError, match="no stage"):
+        c.run(spark, only="z")
