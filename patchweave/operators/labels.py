@@ -135,3 +135,17 @@ def vote(votes: DataFrame) -> DataFrame:
         "item", F.coalesce("best.t", F.lit("")).alias("winner"),
         F.when(F.col("k") == 0, 1.0).when(F.col("k") == 1, 0.0).otherwise(F.greatest(h, F.lit(0.0)) / F.ln("k")).alias("uncertainty"),
     )
+
+
+def running_offset(df: DataFrame, key: str, value: str, buckets: int = 256) -> DataFrame:
+    """``df`` with ``offset``: the sum of ``value`` over all rows of smaller ``key`` (numeric).
+
+    Keys are cut in equal ranges; ranges are summed apart and only their totals, ``buckets`` rows, are put in one order.
+    """
+    lim = F.broadcast(df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi")))
+    b = F.floor((F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * buckets).cast("int")
+    t = df.crossJoin(lim).withColumn("_b", b).drop("_lo", "_hi")
+    sums = t.groupBy("_b").agg(F.sum(value).alias("_s"))
+    base = sums.select("_b", (F.sum("_s").over(Window.orderBy("_b")) - F.col("_s")).alias("_base"))
+    before = F.sum(value).over(Window.partitionBy("_b").orderBy(key).rangeBetween(Window.unboundedPreceding, -1))
+    return t.join(F.broadcast(base), "_b").withColumn("offset", F.col("_base") + F.coalesce(before, F.lit(0))).drop("_b", "_base")

@@ -408,7 +408,7 @@ def _(s, d):
 def _(s, d):
     o = read(s, d, "orders")
     n = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    off = n.withColumn("off", F.sum("n").over(Window.orderBy("o_custkey")) - F.col("n")).drop("n")
+    off = L.running_offset(n, "o_custkey", "n").select("o_custkey", F.col("offset").alias("off"))
     return o.join(off, "o_custkey").select("o_custkey", "o_orderkey", (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) + F.col("off")).cast("long").alias("reading_order"))
 
 
