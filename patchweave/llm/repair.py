@@ -32,8 +32,8 @@ BLOCK_IDS = 1 << 20
 ROUNDS, PAIRS, LEAST = 4, 1024, 16
 #: Words that a worker remembers.
 MEMO = 700_000
-#: Texts that are encoded together.
-TEXTS = 2048
+#: Texts, and bytes of them, that are encoded together.
+TEXTS, TEXT_BYTES = 4096, 16 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
@@ -121,8 +121,8 @@ class Encoder:
         ids = np.frombuffer(b"".join(pieces), "<u4")
         n = size[at]
         stop = np.cumsum(n)
-        source = np.repeat((np.cumsum(size) - size)[at] - stop + n, n)
-        source += np.arange(len(source))
+        source = np.repeat(((np.cumsum(size) - size)[at] - stop + n).astype(np.int32), n)
+        source += np.arange(len(source), dtype=np.int32)
         flat = ids[source]
         bound = np.concatenate(([0], stop))[words.offsets.to_numpy() - words.offsets[0].as_py()]
         out = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
@@ -159,7 +159,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             break
         bucket = seq[:-1] * _LEFT
         bucket ^= seq[1:] * _RIGHT
-        bucket >>= np.uint32(12)
+        bucket = (bucket >> np.uint32(12)).astype(np.intp)
         bucket[end[:-1]] = 0  # a pair must not leave its document
         counts = np.bincount(bucket, minlength=1 << 20)
         counts[0] = 0
@@ -252,6 +252,18 @@ def _pack(part: int, block: int, before: int, docs: list, ids: list[np.ndarray],
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of up to TEXTS rows or about TEXT_BYTES, so that a word is looked up once for many texts."""
+    held: list[pa.RecordBatch] = []
+    for b in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+        if held and (sum(x.num_rows for x in held) + b.num_rows > TEXTS or sum(x.nbytes for x in held) + b.nbytes > TEXT_BYTES):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise ``docs`` and write the blocks; returns them as read back. Null ids come first, ties by text."""
 
@@ -262,15 +274,14 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
         part = TaskContext.get().partitionId()
         block = before = held = 0
         docs_, ids = [], []
-        for b in batches:
-            for i in range(0, b.num_rows, TEXTS):
-                for doc_id, x in zip(b.column(0).slice(i, TEXTS).to_pylist(), enc.encode_all(b.column(1).slice(i, TEXTS)), strict=True):
-                    docs_.append(doc_id)
-                    ids.append(np.append(x, end))
-                    held += len(x) + 1
-                    if held >= block_ids:
-                        yield _pack(part, block, before, docs_, ids, base)
-                        block, before, held, docs_, ids = block + 1, before + held, 0, [], []
+        for b in _gathered(batches):
+            for doc_id, x in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
+                docs_.append(doc_id)
+                ids.append(np.append(x, end))
+                held += len(x) + 1
+                if held >= block_ids:
+                    yield _pack(part, block, before, docs_, ids, base)
+                    block, before, held, docs_, ids = block + 1, before + held, 0, [], []
         if docs_:
             yield _pack(part, block, before, docs_, ids, base)
 
