@@ -8,7 +8,7 @@ of trusted documents of its language. A model has at most 64**4 entries, so it i
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +20,10 @@ from patchweave.llm.common import pick, stage, wrapped
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
+#: Order of the model of real characters, and what stands before a text: no character.
+CHARS, START = 6, "\U0010ffff"
+#: N-grams and contexts of the model of characters that are broadcast together (12 bytes each); more take more passes.
+MODEL_ENTRIES = 4_000_000
 #: A language's threshold is this quantile of its trusted documents' perplexities, times the margin.
 QUANTILE, MARGIN = 0.995, 1.25
 #: Languages with fewer trusted documents than this use the quantile of all languages.
@@ -68,7 +72,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return code[inside], lengths
 
 
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -159,34 +163,191 @@ def dense_log(model: list[tuple[tuple, tuple]]) -> np.ndarray:
     return -np.log(np.maximum(below, 1e-12))
 
 
-#: The table of the model that a worker used last, by the model's name.
-_dense: dict[str, np.ndarray] = {}
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the CHARS-gram that ends at each character, one row each, and the texts' lengths. No NUL is left."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    pad = START * (CHARS - 1)
+    c = np.frombuffer((pad + pad.join(texts) + START * CHARS).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    c[c == 0] = 0xFFFD
+    at = np.arange(lengths.sum()) + np.repeat((CHARS - 1) * np.arange(len(texts)), lengths)
+    return np.lib.stride_tricks.sliding_window_view(c, CHARS)[at], lengths
+
 
+def keys_of(codes: np.ndarray) -> np.ndarray:
+    """64-bit keys of rows of up to CHARS code points; equal rows have equal keys, up to three characters exactly so."""
+    pack = lambda part: sum((part[:, i].astype(np.uint64) << np.uint64(21 * (part.shape[1] - 1 - i)) for i in range(part.shape[1])), np.zeros(len(part), np.uint64))
+    low, high = pack(codes[:, -3:]), pack(codes[:, :-3])
+    if codes.shape[1] <= 3:
+        return low
+    high = (high ^ (high >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = low ^ high ^ (high >> np.uint64(29))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-def perplexities(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc_id, lang, th, n_symbols, perplexity of every row; null for a null or empty text."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(model_of(counts)), uuid.uuid4().hex
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _dense:
-            _dense.clear()
-            _dense[name] = dense_log(shared.value)
-        cost = _dense[name]
+def char_counts(trusted: DataFrame) -> DataFrame:
+    """(gram, c): occurrences in ``trusted`` (text) of each string of CHARS real characters. Each task sends its sums."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, codes, total = np.zeros(0, np.uint64), np.zeros((0, CHARS), np.uint32), np.zeros(0, np.int64)
+        for part in _blocks(t for b in batches for t in b.column(0).to_pylist() if t):
+            w, _ = windows(part)
+            k, at, c = np.unique(keys_of(w), return_index=True, return_counts=True)
+            keys, first, where = np.unique(np.concatenate((keys, k)), return_index=True, return_inverse=True)
+            codes = np.concatenate((codes, w[at]))[first]
+            total = np.bincount(where, np.concatenate((total, c)), len(keys)).astype(np.int64)
+        for i in range(0, len(keys), 1 << 17):
+            text = np.ascontiguousarray(codes[i : i + (1 << 17)]).view(f"<U{CHARS}").ravel().tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(total[i : i + (1 << 17)])], ["gram", "c"])
+
+    return trusted.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def smoothed_chars(counts: DataFrame) -> DataFrame:
+    """(kind, n, gram, v) of the model of real characters, as shards.
+
+    Kind 'a': the interpolated probability of a seen n-gram, less what the class model adds. Kind 'g': the product of
+    a context's left-over weight and those of all its shorter contexts; that of the longest seen context is the class
+    model's share.
+    """
+    levels = {CHARS: stage(counts, f"char-counts-{CHARS}")}
+    for n in range(CHARS - 1, 0, -1):
+        levels[n] = stage(levels[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"char-counts-{n}")
+    rows, a, g = None, None, None
+    for n in range(1, CHARS + 1):
+        d1, d2, d3 = discounts(levels[n])
+        d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
+        t = levels[n].withColumn("context", F.substring("gram", 1, n - 1)).withColumn("d", d)
+        contexts = t.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("left"))
+        own = t.join(contexts, "context").withColumn("v", (F.col("c") - F.col("d")) / F.col("total"))
+        if n == 1:
+            a, g = own.select("gram", "v"), contexts.select(F.col("context").alias("gram"), F.col("left").alias("v"))
+        else:
+            below = a.select(F.col("gram").alias("suffix"), F.col("v").alias("q"))
+            weight = g.select(F.col("gram").alias("suffix"), F.col("v").alias("q"))
+            a = own.withColumn("suffix", F.substring("gram", 2, n - 1)).join(below, "suffix").select("gram", (F.col("v") + F.col("left") * F.col("q")).alias("v"))
+            g = contexts.withColumn("suffix", F.substring("context", 2, n - 2)).join(weight, "suffix").select(F.col("context").alias("gram"), (F.col("left") * F.col("q")).alias("v"))
+        a, g = stage(a, f"char-p-{n}"), stage(g, f"char-weights-{n}")
+        both = a.select(F.lit("a").alias("kind"), F.lit(n).alias("n"), "gram", "v").unionByName(g.select(F.lit("g").alias("kind"), F.lit(n - 1).alias("n"), "gram", "v"))
+        rows = both if rows is None else rows.unionByName(both)
+    # the character before the predicted one decides the block; what has none goes to every block
+    before = F.when(F.col("kind") == "g", F.substring("gram", -1, 1)).otherwise(F.substring("gram", -2, 1))
+    return rows.withColumn("before", F.when((F.col("n") > 0) & ((F.col("kind") == "g") | (F.col("n") > 1)), before))
+
+
+def model_blocks(model: DataFrame, entries: int | None = None) -> list[set[str]]:
+    """Sets of preceding characters whose shards are broadcast together: about ``entries`` n-grams each."""
+    blocks, held, most = [set()], 0, entries or MODEL_ENTRIES
+    for r in model.where("before is not null").groupBy("before").agg(F.count("*").alias("n")).orderBy("before").collect():
+        if held and held + r.n > most:
+            blocks.append(set())
+            held = 0
+        blocks[-1].add(r.before)
+        held += r.n
+    return blocks
+
+
+def _keyed(model: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and values of each kind and order of a block; the keys are made by the tasks."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or "" for t in b.column(3).to_pylist()]
-            n, loss = [], []
-            for part in _blocks(texts):
-                code, lengths = grams(part)
-                run = np.concatenate(([0.0], np.cumsum(cost[code], dtype=np.float64)))
-                stop = np.cumsum(lengths)
-                n.append(lengths)
-                loss.append(run[stop] - run[stop - lengths])
-            n, loss = (np.concatenate(x) if x else np.zeros(0) for x in (n, loss))
-            p = np.exp(loss / np.maximum(n, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n.astype(np.int64)), pa.array(np.round(p, 6), mask=n == 0)], ["doc_id", "lang", "th", "n_symbols", "perplexity"])
-
-    base = pick(docs, doc_id="long", lang="string", text="string").select("doc_id", "lang", F.xxhash64("text").alias("th"), "text")
-    return base.mapInArrow(score, "doc_id long, lang string, th long, n_symbols long, perplexity double")
+            grams_, n = b.column(2).to_pylist(), b.column(1).to_numpy()
+            out = np.zeros(len(n), np.uint64)
+            for k in range(1, CHARS + 1):
+                at = np.flatnonzero(n == k)
+                if len(at):
+                    out[at] = keys_of(np.frombuffer("".join(grams_[i] for i in at).encode("utf-32-le"), np.uint32).reshape(-1, k))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["kind", "n", "k", "v"])
+
+    t = model.select("kind", "n", "gram", "v").mapInArrow(keys, "kind string, n int, k long, v float").toArrow()
+    kind, n = (t.column(0).to_numpy() == "a"), t.column(1).to_numpy()
+    k, v, out = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy(), {}
+    for name, mine in (("a", kind), ("g", ~kind)):
+        for order in range(CHARS + 1):
+            at = np.flatnonzero(mine & (n == order))
+            at = at[np.argsort(k[at])]
+            out[name, order] = k[at], v[at]
+    return out
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    held, value = table
+    if not len(held):
+        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    return held[at] == keys, value[at].astype(np.float64)
+
+
+def char_costs(w: np.ndarray, model: dict, dense: np.ndarray) -> np.ndarray:
+    """Negative natural log probability of the last character of each row of code points after the others.
+
+    Below the single character stands the 4-gram model of classes, which a class's characters share evenly.
+    """
+    s = np.where(w == ord(START), 0, symbol_table()[w]).astype(np.uint32)
+    code = sum(s[:, CHARS - 1 - k] << np.uint32(BITS * k) for k in range(ORDER))
+    floor = np.exp(-dense[code].astype(np.float64)) / np.maximum(np.bincount(symbol_table(), minlength=SYMBOLS), 1)[s[:, -1]]
+    empty = model["g", 0][1]
+    below = np.full(len(w), float(empty[0]) if len(empty) else 1.0)  # the product of weights of the longest seen context so far
+    p = np.zeros(len(w))
+    for n in range(1, CHARS + 1):
+        if n > 1:
+            seen, weight = _find(model["g", n - 1], keys_of(w[:, CHARS - n : -1]))
+            p = np.where(seen, p * (weight / below), p)
+            below = np.where(seen, weight, below)
+        seen, own = _find(model["a", n], keys_of(w[:, CHARS - n :]))
+        p = np.where(seen, own, p)
+    return -np.log(np.maximum(p + below * floor, 1e-30))
+
+
+#: The table of the class model that a worker used last, by the model's name.
+_dense: dict[str, np.ndarray] = {}
+
+
+def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFrame:
+    """doc_id, lang, th, n_symbols, perplexity a character of every row; null for a null or empty text.
+
+    The class model is broadcast whole. The model of characters, which grows with the trusted text, is broadcast in
+    blocks by the character before the predicted one; each pass sums the losses that its block decides.
+    """
+    spark, name = docs.sparkSession, uuid.uuid4().hex
+    shared = spark.sparkContext.broadcast(model_of(counts))
+    model = stage(smoothed_chars(chars), "char-model")
+    blocks = model_blocks(model)
+    base = pick(docs, doc_id="long", lang="string", text="string").select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", F.xxhash64("text").alias("th"), "text")
+    parts = None
+    for i, mine in enumerate(blocks):
+        part = model if len(blocks) == 1 else model.where(F.col("before").isNull() | F.col("before").isin(sorted(mine)))
+        block = spark.sparkContext.broadcast(_keyed(part))
+        known = spark.sparkContext.broadcast(None if len(blocks) == 1 else np.array(sorted(ord(c) for b in blocks for c in b), np.uint32))
+        own = np.array(sorted(map(ord, mine)), np.uint32)
+
+        def score(batches: Iterator[pa.RecordBatch], i=i, block=block, known=known, own=own) -> Iterator[pa.RecordBatch]:
+            if name not in _dense:
+                _dense.clear()
+                _dense[name] = dense_log(shared.value)
+            for b in batches:
+                n, loss = [], []
+                for texts in _blocks(t or "" for t in b.column(4).to_pylist()):
+                    w, lengths = windows(texts)
+                    _, first, where = np.unique(keys_of(w), return_index=True, return_inverse=True)
+                    distinct = w[first]
+                    cost = char_costs(distinct, block.value, _dense[name])
+                    if known.value is not None:  # characters that no n-gram has before its last one belong to the first block
+                        before = distinct[:, -2]
+                        cost[~(np.isin(before, own) | ((i == 0) & ~np.isin(before, known.value)))] = 0
+                    run = np.concatenate(([0.0], np.cumsum(cost[where])))
+                    stop = np.cumsum(lengths)
+                    n.append(lengths)
+                    loss.append(run[stop] - run[stop - lengths])
+                n, loss = (np.concatenate(x) if x else np.zeros(0) for x in (n, loss))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n.astype(np.int64)), pa.array(loss.astype(np.float64))], ["row", "doc_id", "lang", "th", "n_symbols", "loss"])
+
+        found = base.mapInArrow(score, "row long, doc_id long, lang string, th long, n_symbols long, loss double")
+        parts = found if parts is None else parts.unionByName(found)
+    if len(blocks) > 1:
+        parts = parts.groupBy("row", "doc_id", "lang", "th", "n_symbols").agg(F.sum("loss").alias("loss"))
+    return parts.select("doc_id", "lang", "th", "n_symbols", F.when(F.col("n_symbols") > 0, F.round(F.exp(F.col("loss") / F.col("n_symbols")), 6)).alias("perplexity"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -206,8 +367,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     ids = stage(trusted_ids(labels), "trusted-ids")
     small = ids.count() <= BROADCAST_IDS
     known = F.broadcast(ids) if small else ids
-    counts = gram_counts(pick(docs, doc_id="long", text="string").join(known, "doc_id", "left_semi"))
-    scored = stage(perplexities(docs, stage(counts, "gram-counts")), "perplexities")
+    trusted = pick(docs, doc_id="long", text="string").join(known, "doc_id", "left_semi")
+    scored = stage(perplexities(docs, stage(gram_counts(trusted), "gram-counts"), char_counts(trusted)), "perplexities")
     good = scored.join(known, "doc_id", "left_semi").where("perplexity is not null")
     of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     overall = good.agg((of * margin).alias("overall"))

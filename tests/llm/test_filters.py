@@ -118,6 +118,21 @@ def test_classifier_edges(spark):
     assert {r.doc_id for r in kneser_ney.keep_good(docs, none).collect()} == {1, None}
 
 
+def test_model_of_characters(spark, monkeypatch):
+    r = random.Random(5)
+    docs = [(1, "ABC ABC"), (2, "CAB BCA"), (3, "東京 東京"), (4, "京東 東大"), (5, ""), (6, None), (7, "A" * 50), (8, "ab\0c")]
+    good = spark.createDataFrame([(" ".join(r.choice(["ABC", "東京", "abc", "x1"]) for _ in range(40)),) for _ in range(30)], "text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    chars = kneser_ney.char_counts(good)
+    want = collections.Counter(g for (t,) in good.collect() for g in [(kneser_ney.START * 5 + t)[i : i + 6] for i in range(len(t))])
+    assert {x.gram: x.c for x in chars.collect()} == dict(want)
+    score = lambda: {x.doc_id: x.perplexity for x in kneser_ney.perplexities(frame, kneser_ney.gram_counts(good), chars).collect()}
+    got = score()
+    assert got[1] * 3 < got[2] and got[3] * 3 < got[4] and got[5] is None and got[6] is None  # classes alone can't tell 1 from 2
+    monkeypatch.setattr(kneser_ney, "MODEL_ENTRIES", 600)
+    assert all(v is None or math.isclose(v, got[k], rel_tol=1e-5) for k, v in score().items())
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------------
 def test_urls(spark):
     urls = {
