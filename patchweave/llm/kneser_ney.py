@@ -1,8 +1,10 @@
-"""Quality classifier: interpolated modified Kneser-Ney 4-gram model of trusted text over 64 character classes.
+"""Quality classifier: interpolated modified Kneser-Ney 6-gram model of trusted text over its real characters.
 
-Counts of all trusted text are summed in each task, dealt by n-gram, and joined shard by shard, order by order, into
-smoothed probabilities and back-off weights. A document's perplexity is compared with a quantile of the perplexities
-of trusted documents of its language. A model has at most 64**4 entries, so it is broadcast under a proven bound.
+Counts of trusted text are summed in each task, dealt by n-gram, and joined shard by shard, order by order, into
+smoothed probabilities and back-off weights. The model grows with the trusted text; documents are scored against it in
+blocks of bounded size. Below the single character stands a 4-gram model over 64 character classes, so that characters
+never seen have a probability too. A document's perplexity is compared with a threshold of its language, which is set
+on trusted documents that were held out of the model.
 """
 
 from __future__ import annotations
@@ -24,9 +26,12 @@ SYMBOLS = 1 << BITS
 CHARS, START = 6, "\U0010ffff"
 #: N-grams and contexts of the model of characters that are broadcast together (12 bytes each); more take more passes.
 MODEL_ENTRIES = 4_000_000
-#: A language's threshold is this quantile of its trusted documents' perplexities, times the margin.
-QUANTILE, MARGIN = 0.995, 1.25
-#: Languages with fewer trusted documents than this use the quantile of all languages.
+#: One of so many trusted documents, by the hash of its text, is held out of the model; thresholds are set on those.
+FOLDS = 5
+#: A language's threshold is that of these quantiles of its held-out documents' perplexities that parts them best from bad ones.
+#: None is below 0.98, so that few good documents are lost.
+QUANTILES = (0.98, 0.985, 0.99, 0.995, 1.0)
+#: Languages with fewer held-out documents than this use the threshold of all languages.
 LEAST_TRUSTED = 20
 #: Trusted ids (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -356,28 +361,52 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return marks.groupBy("doc_id").agg(F.max("quality").alias("q"), F.coalesce(F.max("toxic"), F.lit(0)).alias("x")).where("q = 1 and x = 0").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def judged_ids(labels: DataFrame, quality: int) -> DataFrame:
+    """Ids whose quality is ``quality``, toxic or not: 1 if any of an id's rows has it, else 0."""
+    marks = pick(labels, doc_id="long", quality="int").where("doc_id is not null")
+    return marks.groupBy("doc_id").agg(F.max("quality").alias("q")).where(F.col("q") == quality).select("doc_id")
+
+
+def thresholds(good: DataFrame, bad: DataFrame) -> DataFrame:
+    """(overall, lang, n, threshold) from held-out good and from bad perplexities (lang, perplexity).
+
+    Of the quantiles of the good ones that is taken which keeps most of them less the share of bad ones that it keeps,
+    the highest if there are several; so a few junk rows among the good ones, which lift the upper quantiles, lose to
+    the bad rows that those let in. One row is for all languages together.
+    """
+    twice = F.explode(F.array(F.struct(F.lit(False).alias("overall"), "lang"), F.struct(F.lit(True).alias("overall"), F.lit(None).cast("string").alias("lang")))).alias("k")
+    good, bad = (x.where("perplexity is not null").select(twice, "perplexity").select("k.*", "perplexity") for x in (good, bad))
+    cuts = good.groupBy("overall", "lang").agg(F.percentile_approx("perplexity", F.array(*map(F.lit, QUANTILES)), F.lit(10_000)).alias("t"), F.count("*").alias("n"))
+    cuts = cuts.select("overall", "lang", "n", F.explode(F.arrays_zip("t", F.array(*map(F.lit, QUANTILES)).alias("q"))).alias("c")).select("overall", "lang", "n", "c.t", "c.q").alias("c")
+    b = bad.alias("b")
+    mine = (F.col("b.overall") == F.col("c.overall")) & F.col("b.lang").eqNullSafe(F.col("c.lang"))
+    let_in = F.coalesce(F.avg((F.col("b.perplexity") <= F.col("c.t")).cast("double")), F.lit(0.0))
+    best = cuts.join(b, mine, "left").groupBy("c.overall", "c.lang", "c.n", "c.t", "c.q").agg(let_in.alias("x"))
+    return best.groupBy("overall", "lang", "n").agg(F.max(F.struct(F.round(F.col("q") - F.col("x"), 9), "q", "t"))["t"].alias("threshold"))
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, th (text hash), n_symbols, perplexity, threshold, keep for every row of ``docs``.
 
-    Trusted text is that of all documents labelled good. A document stays if its perplexity is at most its language's
-    threshold. A null language is a language of its own; one with few trusted documents goes by all trusted ones; with
-    no trusted text at all the threshold is null and everything stays. Null and empty texts have no perplexity and do
-    not stay. Repeated rows count each and are judged alike; texts are scored whole; extra columns are ignored.
+    Trusted text is that of documents labelled good and not toxic. A fifth of the documents labelled good, toxic or
+    not, sets the thresholds and trains nothing. A document stays if its perplexity is at most its language's threshold. A null language is a language of its own;
+    one with few held-out documents goes by those of all; with none at all the threshold is null and everything stays.
+    Null and empty texts have no perplexity and do not stay. Repeated rows count each and are judged alike; texts are
+    scored whole; extra columns are ignored.
     """
-    ids = stage(trusted_ids(labels), "trusted-ids")
-    small = ids.count() <= BROADCAST_IDS
-    known = F.broadcast(ids) if small else ids
-    trusted = pick(docs, doc_id="long", text="string").join(known, "doc_id", "left_semi")
+    ids = [stage(x, "ids") for x in (trusted_ids(labels), judged_ids(labels, 1), judged_ids(labels, 0))]
+    known, good, bad = (F.broadcast(x) if x.count() <= BROADCAST_IDS else x for x in ids)
+    fold = lambda th: F.pmod(th, F.lit(FOLDS))
+    trusted = pick(docs, doc_id="long", text="string").join(known, "doc_id", "left_semi").where(fold(F.xxhash64("text")) > 0)
     scored = stage(perplexities(docs, stage(gram_counts(trusted), "gram-counts"), char_counts(trusted)), "perplexities")
-    good = scored.join(known, "doc_id", "left_semi").where("perplexity is not null")
-    of = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    overall = good.agg((of * margin).alias("overall"))
-    by_lang = good.groupBy("lang").agg((of * margin).alias("own"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TRUSTED)
-    s, t = scored.alias("s"), by_lang.alias("t")
+    t = stage(thresholds(scored.join(good, "doc_id", "left_semi").where(fold(F.col("th")) == 0), scored.join(bad, "doc_id", "left_semi")), "thresholds")
+    overall = t.where("overall").agg(F.max("threshold").alias("all_langs"))
+    own = t.where(~F.col("overall") & (F.col("n") >= LEAST_TRUSTED)).select("lang", F.col("threshold").alias("own"))
+    s, t = scored.alias("s"), own.alias("t")
     return (
         s.join(t, F.col("s.lang").eqNullSafe(F.col("t.lang")), "left")
         .crossJoin(F.broadcast(overall))  # one row
-        .select("s.doc_id", "s.lang", "s.th", "n_symbols", "perplexity", F.coalesce("own", "overall").alias("threshold"))
+        .select("s.doc_id", "s.lang", "s.th", "n_symbols", "perplexity", F.coalesce("own", "all_langs").alias("threshold"))
         .withColumn("keep", (F.col("n_symbols") > 0) & (F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))))
     )
 

@@ -110,6 +110,17 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert rate[1] > 0.98 and rate[0] < 0.4
 
 
+def test_thresholds_let_little_junk_in(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = kneser_ney.classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("keep").cast("int"))).collect()
+    rate = {r.quality: r[1] for r in got}
+    assert rate[1] > 0.98 and rate[0] < 0.04
+    good = [("en", 4 + i / 200) for i in range(200)] + [("en", 50.0)] * 3 + [(None, 3.0)] * 30
+    bad = [("en", 6 + i / 4) for i in range(40)]
+    cut = {(r.overall, r.lang): r.threshold for r in kneser_ney.thresholds(*(spark.createDataFrame(x, "lang string, perplexity double") for x in (good, bad))).collect()}
+    assert 4.9 < cut[False, "en"] < 5 and cut[False, None] == 3 and 4.9 < cut[True, None] < 5
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, "good text here", "en"), (2, None, "en"), (3, "", None), (None, "%%%% ####", None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
