@@ -28,7 +28,7 @@ def words_of(text: Column) -> Column:
     ``lower`` is taken where it can't touch more than A-Z (no capitals beyond ASCII), as it is the faster of the two.
     """
     text = F.coalesce(text, F.lit(""))
-    lowered = F.when(text.rlike(r"[\p{Lu}\p{Lt}&&[^A-Z]]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    lowered = F.when(text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
     return F.array_remove(F.split(lowered, DELIMITERS), "")
 
 

@@ -58,6 +58,12 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.contamination(frame, spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_only_a_to_z_are_folded(spark):
+    texts = ["\u2163 Ab", "\u2163 \u00c9 Ab", "\u24b6x \u2173"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(decontaminate.words_of(F.col("text"))).collect()
+    assert [r[0] for r in got] == [words(t) for t in texts]
+
+
 # -- 6 ---------------------------------------------------------------------------------------------------------------
 def test_grams_and_smoothing(spark):
     texts = ["Hello, wörld 12", "", "a", "abc abc", "ÀÉ\n", "zz" * 40]
