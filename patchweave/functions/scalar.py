@@ -89,14 +89,25 @@ def apply_homography(x: Column, y: Column, h: list[float]) -> tuple[Column, Colu
     return (x * h[0] + y * h[1] + h[2]) / w, (x * h[3] + y * h[4] + h[5]) / w
 
 
+#: Words of a reply that are not its content, the fixed values that a reply may repeat from its prompt.
+REPLY_WORDS = ("Row", "row", "格式", "输出", "Output")
+
+
 def parse_rows(text: Column, n: int) -> Column:
-    """Characters of an OCR reply, n of them: from 'Row k: ...' lines, else from [x] marks, else any ideographs."""
-    pat = f"[{CJK}{UNKNOWN}]"
-    rows = F.array_join(F.regexp_extract_all(text, F.lit(r"Row \d+:([^\n]*)")), "")
-    marks = F.array_join(F.regexp_extract_all(text, F.lit(r"\[(.)\]")), "")
+    """Characters of an OCR reply, n of them.
+
+    'Row k: ...' lines count if they give exactly n; else lines and the first characters of [...] marks together, if
+    those do; else all ideographs and unknown marks outside the reply's own words, cut or filled up to n.
+    """
+    one = f"[{CJK}{UNKNOWN}]"
     keep = lambda c: F.regexp_replace(c, f"[^{CJK}{UNKNOWN}]", "")
-    found = F.when(F.length(keep(rows)) > 0, keep(rows)).when(F.length(keep(marks)) > 0, keep(marks)).otherwise(F.array_join(F.regexp_extract_all(text, F.lit(f"({pat})")), ""))
-    return F.rpad(F.coalesce(found, F.lit("")), n, UNKNOWN)
+    text = F.coalesce(text, F.lit(""))
+    rows = keep(F.array_join(F.regexp_extract_all(text, F.lit(r"(?i)Row\s*\d+\s*:\s*(.+)")), ""))
+    inner = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\]]+)\]")), lambda m: F.regexp_replace(m, r"^\s+|\s+$", ""))
+    firsts = F.filter(inner, lambda m: (m == UNKNOWN) | m.rlike(f"^[{CJK}]"))
+    marks = F.concat(rows, F.array_join(F.transform(firsts, lambda m: F.substring(m, 1, 1)), ""))
+    rest = F.array_join(F.regexp_extract_all(F.regexp_replace(text, "|".join(REPLY_WORDS), " "), F.lit(f"({one})")), "")
+    return F.when(F.length(rows) == n, rows).when(F.length(marks) == n, marks).otherwise(F.rpad(rest, n, UNKNOWN))
 
 
 def parse_single(text: Column) -> Column:

@@ -15,11 +15,10 @@ from pyspark.sql import functions as F
 def _stage(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back, so that iterative plans stay short and survive lost executors."""
     spark = df.sparkSession
-    try:
-        base = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        base = None
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="patchweave-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -377,7 +377,7 @@ def _(s, d):
 
 @register("refine_pca_rematch")
 def _(s, d):
-    v = vectors(s, d).select("id", F.when(F.col("id") % 17 == 0, 1000 + F.col("id")).otherwise(F.col("label").cast("long")).alias("cluster"), F.slice("v", 1, 8).alias("vec"))
+    v = vectors(s, d).select("id", F.when(F.col("id") % 17 == 0, 1000 + F.col("id")).otherwise(F.col("label").cast("long")).alias("cluster"), F.col("v").alias("vec"))
     return R.pca_rematch(v, small=3, k=5)
 
 

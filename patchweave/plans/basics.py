@@ -86,21 +86,31 @@ def _(s, d):
     return read(s, d, "nation").select("n_nationkey", S.page_of_file(F.concat("n_name", F.lit(".png"))).alias("page"))
 
 
-REPLY = f"case p_partkey % 3 when 0 then 'Row 1: ' || {HAN} when 1 then 'is [一] or [四]' else 'x' || {HAN} end"
-ONLY = f"regexp_replace({HAN}, '[^一二㐀四𠀀]', '', 'g')"
+REPLY = f"case p_partkey % 7 when 0 then 'Row 1: ' || {HAN} || chr(10) || 'row2 : ' || {HAN} when 1 then 'is [一 x] or [ 四四] or [x]' when 2 then 'ROW 1: 一' || chr(10) || '[四]' || {HAN} when 3 then '格式 [▯]' || {HAN} when 4 then 'Output ' || {HAN} || {HAN} || {HAN} when 5 then '' else 'x' || {HAN} end"
+ONLY = "'[^一-鿿㐀-䶿𠀀-𪛟▯]'"
 
 
 def _reply(s, d):
-    k = F.col("p_partkey") % 3
-    return _han(s, d).select("p_partkey", F.when(k == 0, F.concat(F.lit("Row 1: "), "h")).when(k == 1, "is [一] or [四]").otherwise(F.concat(F.lit("x"), "h")).alias("r"))
+    k, h = F.col("p_partkey") % 7, F.col("h")
+    cases = [
+        F.concat(F.lit("Row 1: "), h, F.lit("\nrow2 : "), h), F.lit("is [一 x] or [ 四四] or [x]"), F.concat(F.lit("ROW 1: 一\n[四]"), h), F.concat(F.lit("格式 [▯]"), h),
+        F.concat(F.lit("Output "), h, h, h), F.lit(""), F.concat(F.lit("x"), h),
+    ]
+    out = cases[-1]
+    for i, c in enumerate(cases[:-1]):
+        out = F.when(k == i, c).otherwise(out)
+    return _han(s, d).select("p_partkey", out.alias("r"))
 
 
-@register("str_parse_fallback", f"select p_partkey, rpad(case when p_partkey % 3 = 1 then '一四' else {ONLY} end, 6, '▯') as chars from part")
+@register("str_parse_fallback", f"""with t as (select p_partkey, {REPLY} as r from part),
+a as (select p_partkey, r, regexp_replace(array_to_string(regexp_extract_all(r, '(?i)row\\s*\\d+\\s*:\\s*([^\n]+)', 1), ''), {ONLY}, '', 'g') as lines, list_transform(regexp_extract_all(r, '\\[([^\\]]+)\\]', 1), lambda m: trim(m)) as marks from t),
+b as (select *, lines || array_to_string(list_transform(list_filter(marks, lambda m: m = '▯' or regexp_matches(m, '^[一-鿿㐀-䶿𠀀-𪛟]')), lambda m: m[1:1]), '') as both_ from a)
+select p_partkey, case when length(lines) = 2 then lines when length(both_) = 2 then both_ else rpad(regexp_replace(regexp_replace(r, 'Row|row|格式|输出|Output', ' ', 'g'), {ONLY}, '', 'g'), 2, '▯') end as chars from b""")
 def _(s, d):
-    return _reply(s, d).select("p_partkey", S.parse_rows(F.col("r"), 6).alias("chars"))
+    return _reply(s, d).select("p_partkey", S.parse_rows(F.col("r"), 2).alias("chars"))
 
 
-@register("str_parse_single", f"select p_partkey, case when regexp_matches({REPLY}, '[一二㐀四𠀀]') then regexp_extract({REPLY}, '([一二㐀四𠀀])', 1) else '▯' end as c from part")
+@register("str_parse_single", f"select p_partkey, case when contains({REPLY}, '▯') then '▯' when regexp_matches({REPLY}, '[一二㐀四𠀀]') then regexp_extract({REPLY}, '([一二㐀四𠀀])', 1) else '▯' end as c from part")
 def _(s, d):
     return _reply(s, d).select("p_partkey", S.parse_single(F.col("r")).alias("c"))
 

@@ -287,10 +287,12 @@ def _(s, d):
     return read(s, d, "part").agg(round_up(F.max("p_size"), 16).alias("width"), round_up(F.max("p_retailprice"), 16).alias("height"))
 
 
-@register("agg_barycenter", "select l_orderkey, round(sum(l_quantity * l_linenumber) / sum(l_quantity), 6) as cx, round(sum(l_quantity * l_tax) / sum(l_quantity), 6) as cy from lineitem group by 1")
+@register("agg_barycenter", "select l_orderkey, (sum((l_quantity * l_linenumber * 100)::decimal(20, 0)) / sum((l_quantity * 100)::decimal(20, 0)))::double as cx, (sum((l_quantity * l_tax * 10000)::decimal(20, 0)) / sum((l_quantity * 10000)::decimal(20, 0)))::double as cy from lineitem group by 1")
 def _(s, d):
-    q = F.sum("l_quantity")
-    return read(s, d, "lineitem").groupBy("l_orderkey").agg(r6(F.sum(F.col("l_quantity") * F.col("l_linenumber")) / q, "cx"), r6(F.sum(F.col("l_quantity") * F.col("l_tax")) / q, "cy"))
+    # whole numbers add up alike in any order
+    total = lambda x, k: F.sum(F.round(x * k).cast("decimal(20,0)")).cast("double")
+    q = F.col("l_quantity")
+    return read(s, d, "lineitem").groupBy("l_orderkey").agg((total(q * F.col("l_linenumber"), 100) / total(q, 100)).alias("cx"), (total(q * F.col("l_tax"), 10_000) / total(q, 10_000)).alias("cy"))
 
 
 @register("hist_cumulative", """with h as (select least(floor(value / 10), 49)::int as bin, count(*) as n from events group by 1)
