@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors: ``spark.checkpoint.dir``, set here only where it is unset (tests)."""
-    try:
-        held = spark.conf.get("spark.checkpoint.dir")
-    except Exception:
-        held = None
+    """Folder shared by driver and executors: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session in one process (tests) gets a temporary folder; a cluster raises, as a folder of one
+    machine would lose what others write.
+    """
+    held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = "file://" + tempfile.mkdtemp(prefix="patchweave-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held.rstrip("/")
@@ -67,26 +70,3 @@ def wrapped(df: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]).alias("row")
     get = lambda n, kind: (F.col(found[n]) if n in found else F.lit(None)).cast(kind).alias(n)
     return by_place.select(row, get("doc_id", "long"), get("source", "string"), get("text", "string"))
-
-
-#: Rows of an Arrow batch. Documents are wide, so the default of 10,000 makes batches of tens of megabytes.
-BATCH_ROWS = 1024
-_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder. Sets small Arrow batches, unless the session has a setting of its own."""
-    if spark.conf.get(_ROWS_KEY) == "10000":
-        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def pick(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, cast; a column the input lacks is null. Extra columns of any name are ignored."""
-    have = {c.lower(): c for c in df.columns}
-    return df.select(
-        *[
-            (F.col(f"`{have[n]}`") if n in have else F.lit(None)).cast(kind).alias(n)
-            for n, kind in columns.items()
-        ]
-    )
