@@ -1,10 +1,10 @@
 """Token-ID output with Re-Pair grammar compression.
 
 Documents are tokenised, put in ascending doc_id order by range partitions, and packed into blocks of whole documents.
-In each block frequent pairs of neighbouring ids are replaced by nonterminals, round after round; many pairs are
-replaced in a round, never two that overlap. A block stores its rules with their expansion lengths, the remaining
-sequence, and for each document where it starts in that sequence, so any document is decoded alone. No rule spans two
-documents. Blocks are rows of a Parquet table in the shared folder.
+In each block frequent pairs of neighbouring ids are replaced by nonterminals, round after round, until no pair is
+frequent; where places overlap, the more frequent pair is replaced first. A block stores its rules with their expansion
+lengths, the remaining sequence, and for each document where it starts in that sequence, so any document is decoded
+alone. No rule spans two documents. Blocks are rows of a Parquet table in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,8 +28,10 @@ from patchweave.llm.transducer import byte_alphabet
 END_ID = 2
 #: Ids of a block; a block closes with the document that reaches it.
 BLOCK_IDS = 1 << 20
-#: Rounds of pair replacement, pairs of a round, and how often a pair must occur.
-ROUNDS, PAIRS, LEAST = 4, 1024, 16
+#: How often a pair must occur to be frequent: a rule costs two ids and its length, so rarer pairs gain little.
+LEAST = 8
+#: Pairs with this share of the round's highest count are replaced together; lower ones wait for later rounds.
+SHARE = 1 / 64
 #: Words that a worker remembers.
 MEMO = 700_000
 #: Texts, and bytes of them, that are encoded together.
@@ -140,66 +142,76 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-#: Odd multipliers of the hash that counts pairs.
-_LEFT, _RIGHT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: Odd multipliers of the hash that counts pairs, and its bits.
+_LEFT, _RIGHT, _BITS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), 20
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST):
+def pair_counts(seq: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places, pair of each place, pairs as left << 32 | right, exact counts), without most pairs that are rarer than ``least``.
+
+    A pair does not leave its document. Hashed counts leave out rare pairs, so that few are counted exactly.
+    """
+    bucket = seq[:-1] * _LEFT
+    bucket ^= seq[1:] * _RIGHT
+    bucket >>= np.uint32(32 - _BITS)
+    bucket[end[:-1]] = 0
+    counts = np.bincount(bucket, minlength=1 << _BITS)
+    often = counts >= least
+    at = np.flatnonzero(often[bucket])
+    if often[0]:
+        at = at[~end[at]]
+    pairs = pa.array(seq[at].astype(np.int64) << 32 | seq[at + 1]).dictionary_encode()
+    which = pairs.indices.to_numpy()
+    return at, which, pairs.dictionary.to_numpy(), np.bincount(which, minlength=len(pairs.dictionary))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, share: float = SHARE):
     """Re-Pair: (sequence, rules as rows of left and right, expansion length of each rule, index in the sequence of each document's end).
 
-    ``ends`` marks the last id of each document; ``base`` is the first nonterminal.
+    ``ends`` marks the last id of each document; ``base`` is the first nonterminal. In each round the pairs that occur
+    ``least`` times, and ``share`` of the highest count, are ranked by count, equal ones at random; a place is replaced if no place that
+    overlaps it has a better rank, in a run of one pair every other place. Rounds end when no pair occurs ``least``
+    times (4 or more, so that the best pair is always replaced twice).
     """
     seq, end = ids.astype(np.uint32), ends.copy()
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    length_of = lambda s: np.where(s < base, 1, np.concatenate([*lengths, [0]])[np.maximum(s - base, 0)] if lengths else 1)
-    n_rules = 0
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        bucket = seq[:-1] * _LEFT
-        bucket ^= seq[1:] * _RIGHT
-        bucket = (bucket >> np.uint32(12)).astype(np.intp)
-        bucket[end[:-1]] = 0  # a pair must not leave its document
-        counts = np.bincount(bucket, minlength=1 << 20)
-        counts[0] = 0
-        often = counts >= least
-        if (many := counts[often]).size > pairs:
-            often &= counts >= np.partition(many, -pairs)[-pairs]
-        at = np.flatnonzero(often[bucket])
-        if not len(at):
-            break
-        # One pair speaks for each bucket; which of several that share one does not matter.
-        mine = bucket[at]
-        key = seq[at].astype(np.int64) << 24 | seq[at + 1]
-        pair_of = np.zeros(1 << 20, np.int64)
-        pair_of[mine] = key
-        take = key == pair_of[mine]
-        at, mine = at[take], mine[take]
-        n = np.bincount(mine, minlength=1 << 20)
-        chosen = np.flatnonzero(n >= least)[:pairs]
-        if not len(chosen):
+    size = np.ones(0, np.int64)
+    length_of = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)] if len(size) else 1)
+    none = np.iinfo(np.int32).max
+    while len(seq) > 1:
+        at, which, pairs, n = pair_counts(seq, end, least)
+        top = int(n.max(initial=0))
+        if top < least:
             break
-        number = np.full(1 << 20, -1, np.int32)
-        number[chosen] = np.arange(len(chosen))
-        rule = number[mine]
-        if (rule < 0).any():
-            at, rule = at[rule >= 0], rule[rule >= 0]
-        # Overlapping places form runs of neighbours; every other one of a run is replaced.
-        head = np.concatenate(([True], np.diff(at) != 1))
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at, rule = at[run % 2 == 0], rule[run % 2 == 0]
-        pair = np.stack([pair_of[chosen] >> 24, pair_of[chosen] & ((1 << 24) - 1)], 1)
+        often = np.flatnonzero(n >= max(least, top * share))
+        chance = pairs[often].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+        rank = np.full(len(n), none, np.int32)
+        rank[often[np.lexsort((chance, -n[often]))]] = np.arange(len(often))
+        mine = rank[which]
+        at, mine = at[mine < none], mine[mine < none]
+        place = np.full(len(seq) + 1, none, np.int32)
+        place[at] = mine
+        before, after = place[at - 1], place[at + 1]  # the place before the first is the last, which starts no pair
+        i = np.arange(len(at))
+        run = i - np.maximum.accumulate(np.where(before == mine, 0, i))
+        wins = (run % 2 == 0) & (before >= mine) & (after >= mine)
+        at, mine = at[wins], mine[wins]
+        gains = np.bincount(mine, minlength=len(often)) > 1
+        number = (np.cumsum(gains) - 1).astype(np.int32)
+        at, mine = at[gains[mine]], mine[gains[mine]]
+        example = np.zeros(len(often), np.int64)
+        example[mine] = at
+        example = example[gains]
+        pair = np.stack([seq[example], seq[example + 1]], 1).astype(np.int64)
         new = length_of(pair[:, 0]) + length_of(pair[:, 1])
-        seq[at] = base + n_rules + rule
+        seq[at] = (base + len(size) + number[mine]).astype(np.uint32)
         end[at] = end[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, end = seq[keep], end[keep]
         rules.append(pair)
-        lengths.append(new)
-        n_rules += len(chosen)
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths) if lengths else np.zeros(0, np.int64), np.flatnonzero(end)
+        size = np.concatenate([size, new])
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), size, np.flatnonzero(end)
 
 
 class Grammar:
@@ -233,6 +245,18 @@ class Grammar:
         return self.table[at]
 
 
+def planes(seq: np.ndarray) -> bytes:
+    """The low 16 bits of all symbols, then the high 16 bits if any symbol has some; equal bytes lie together."""
+    low = (seq & 0xFFFF).astype("<u2").tobytes()
+    return low + (seq >> 16).astype("<u2").tobytes() if len(seq) and int(seq.max()) >> 16 else low
+
+
+def unplaned(stored: bytes, n: int) -> np.ndarray:
+    """The n symbols that ``planes`` stored."""
+    seq = np.frombuffer(stored, "<u2", n).astype(np.int64)
+    return seq | np.frombuffer(stored, "<u2", n, 2 * n).astype(np.int64) << 16 if len(stored) > 2 * n else seq
+
+
 BLOCKS = "part int, block int, before long, n_ids long, base int, doc_ids binary, no_id binary, doc_stop binary, doc_len binary, rules binary, rule_len binary, seq binary"
 
 
@@ -242,10 +266,9 @@ def _pack(part: int, block: int, before: int, docs: list, ids: list[np.ndarray],
     ends = np.zeros(len(flat), bool)
     ends[np.cumsum(doc_len) - 1] = True
     seq, rules, lengths, stops = compress(flat, ends, base)
-    width = "<u2" if base + len(rules) <= 1 << 16 else "<u4"
     values = [
         part, block, before, len(flat), base, np.array([d or 0 for d in docs], "<i8").tobytes(), np.array([d is None for d in docs], bool).tobytes(),
-        (stops + 1).astype("<u4").tobytes(), doc_len.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), width[1:].encode() + seq.astype(width).tobytes(),
+        (stops + 1).astype("<u4").tobytes(), doc_len.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), planes(seq),
     ]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 7]
     names = [c.split(" ")[0] for c in BLOCKS.split(", ")]
@@ -291,7 +314,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
 
 def _grammar(row: dict) -> tuple[Grammar, np.ndarray]:
     rules = np.frombuffer(row["rules"], "<u4").astype(np.int64).reshape(-1, 2)
-    return Grammar(rules, np.frombuffer(row["rule_len"], "<u4").astype(np.int64), row["base"]), np.frombuffer(row["seq"][2:], "<" + row["seq"][:2].decode()).astype(np.int64)
+    return Grammar(rules, np.frombuffer(row["rule_len"], "<u4").astype(np.int64), row["base"]), unplaned(row["seq"], int(np.frombuffer(row["doc_stop"], "<u4")[-1]))
 
 
 def decode_one(row: dict, i: int) -> np.ndarray:

@@ -1,5 +1,6 @@
 """Re-Pair output: encoder against the library, exact round trip, start offsets and checksums."""
 
+import collections
 import random
 import zlib
 
@@ -51,6 +52,26 @@ def test_grammar_round_trip(seed):
     assert len(row["seq"]) < sum(map(len, docs)) * 2
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_no_frequent_pair_is_left(seed):
+    r = np.random.default_rng(seed)
+    motif = r.integers(0, 70_000, 300)
+    docs = [np.concatenate([motif[a : a + 40], r.zipf(1.3, 50).clip(0, 69_999), np.full(r.integers(0, 30), 5)]) for a in r.integers(0, 260, 400)]
+    ends = np.concatenate([np.arange(len(x)) == len(x) - 1 for x in docs])
+    flat = np.concatenate(docs).astype("<u4")
+    seq, rules, size, stops = repair.compress(flat, ends, 70_000)
+    last = set(stops.tolist())
+    left = collections.Counter((a, b) for i, (a, b) in enumerate(zip(seq.tolist(), seq[1:].tolist(), strict=False)) if i not in last)
+    assert max(left.values()) < repair.LEAST
+    used = np.bincount(np.concatenate([seq, rules.ravel()]), minlength=70_000 + len(rules))[70_000:]
+    assert used.min() > 0 and len(seq) < len(flat) / 3
+    assert repair.unplaned(repair.planes(seq), len(seq)).tolist() == seq.tolist() and int(seq.max()) >> 16
+    assert repair.Grammar(rules, size, 70_000).expand(seq.astype(np.int64)).tolist() == flat.tolist()
+    stop = np.cumsum([len(x) for x in docs])
+    ends_of = np.cumsum(np.where(seq < 70_000, 1, size[np.maximum(seq.astype(int) - 70_000, 0)]))
+    assert ends_of[stops].tolist() == stop.tolist()
+
+
 def test_query_against_library(spark, monkeypatch):
     from tokenizers import Tokenizer
 
