@@ -218,6 +218,18 @@ def test_mix(spark):
         taken[x.source] += x.taken
     for s in order:
         assert abs(taken[s] - target[s]) <= 30
+    assert abs(sum(taken.values()) - total) <= 15  # half the longest document
+    queue = sorted({((x.middle + i * x.source_size) / x.target, x.key, x.source or "", i) for x in got if x.size for i in range(3)})
+    words_of_key = collections.Counter()
+    for x in got:
+        words_of_key[x.key, x.source or ""] += x.size
+    sent, passes = 0, collections.Counter()
+    for _, key, source, _ in queue:  # the same by a plain queue
+        if sent + words_of_key[key, source] / 2 > total:
+            break
+        sent += words_of_key[key, source]
+        passes[key, source] += 1
+    assert all(x.passes == passes[x.key, x.source or ""] for x in got if x.size)
     again = {(x.doc_id, x.source, x.taken) for x in fair_mix.mix(docs.repartition(2)).collect()}
     assert again == {(x.doc_id, x.source, x.taken) for x in got}
     out = fair_mix.mixed_documents(docs, n_ranges=4)
