@@ -2,7 +2,8 @@
 
 Samples are stored as 8-bit PCM in a WAV container. Features come from the stored bytes: polyphase resampling, an
 overlapped log-mel filterbank, and energy segmentation with hysteresis. Frames are stored as Arrow fixed-shape tensors
-(frames x mels), each with its time span.
+(frames x mels, in hundredths of a dB), each with its time span, in a second table; what a query tells of the features
+is read back from there.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def mel_bank() -> np.ndarray:
 
 
 def log_mel(samples: bytes, rate: int = SOURCE_RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x mels log energies in dB, frame energies in dB), both rounded to 0.01 so that they survive storage."""
+    """(frames x mels log energies in hundredths of a dB, frame energies in dB rounded to 0.01)."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     g = np.gcd(RATE, rate)
     up, down = int(RATE // g), int(rate // g)
@@ -118,7 +119,7 @@ def log_mel(samples: bytes, rate: int = SOURCE_RATE) -> tuple[np.ndarray, np.nda
         power = np.abs(np.fft.rfft(cut, FFT, axis=1)) ** 2
         mels.append(10 * np.log10(power.astype(np.float32) @ mel_bank() + 1e-6))
         energy.append(10 * np.log10((cut * cut).mean(1) + 1e-6))
-    return np.round(np.concatenate(mels), 2).astype(np.float32), np.round(np.concatenate(energy), 2).astype(np.float32)
+    return np.round(100 * np.concatenate(mels)).astype(np.int16), np.round(np.concatenate(energy), 2).astype(np.float32)
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
@@ -134,9 +135,9 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
 def to_tensors(mels: np.ndarray) -> bytes:
     """Arrow IPC stream: start_ms, end_ms, frames, and a fixed-shape tensor of TENSOR_FRAMES x MELS, padded with zeros."""
     n = -(-len(mels) // TENSOR_FRAMES)
-    padded = np.zeros((n * TENSOR_FRAMES, MELS), np.float32)
+    padded = np.zeros((n * TENSOR_FRAMES, MELS), np.int16)
     padded[: len(mels)] = mels
-    kind = pa.fixed_shape_tensor(pa.float32(), [TENSOR_FRAMES, MELS])
+    kind = pa.fixed_shape_tensor(pa.int16(), [TENSOR_FRAMES, MELS])
     tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(padded.ravel()), TENSOR_FRAMES * MELS))
     first = np.arange(n) * TENSOR_FRAMES
     count = np.minimum(TENSOR_FRAMES, len(mels) - first)
@@ -150,7 +151,7 @@ def to_tensors(mels: np.ndarray) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def from_tensors(stored: bytes) -> np.ndarray:
+def from_tensors(stored: bytes | pa.Buffer) -> np.ndarray:
     """Frames x mels of a stored stream, without the padding."""
     t = pa.ipc.open_stream(stored).read_all().combine_chunks()
     flat = t.column("log_mel").combine_chunks().storage.flatten().to_numpy()
@@ -169,48 +170,59 @@ def store_media(docs: DataFrame) -> DataFrame:
     return stage(raw.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
 
 
-FEATURES = (
-    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "n_frames long, segments array<struct<start_ms:double,end_ms:double>>, tensors binary"
+_STORED = [(c, pa.int64()) for c in ("doc_id", "n_bytes", "payload_bytes")] + [
+    ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_frames", pa.int64()),
+    ("segments", pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))), ("tensors", pa.binary()),
+]
+_STORED_DDL = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, "
+    "segments array<struct<start_ms:double,end_ms:double>>, tensors binary"
 )
 
 
-def audio_features(media: DataFrame, with_tensors: bool = True) -> DataFrame:
-    """Features of stored media (doc_id, n_bytes, media), one row each; ``feature`` is a digest of tensors and spans.
+def store_features(media: DataFrame) -> DataFrame:
+    """Features of stored media (doc_id, n_bytes, media), one row each, in a table of the shared folder.
 
-    Every text gives at least one frame, as a payload is never empty; equal media give equal features. A null medium is
-    an error of the store, and raises. Signals are resampled and transformed in blocks, so memory grows with the frames only.
+    ``tensors`` is an Arrow stream of fixed-shape tensors with their time spans, ``segments`` the spans of the energy
+    segmentation. Every text gives at least one frame, as a payload is never empty. A null medium is an error of the
+    store, and raises. Signals are resampled and transformed in blocks, so memory grows with the frames only.
     """
     frame_ms = 1000 * HOP / RATE
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema(
-            [(c, pa.int64()) for c in ("doc_id", "n_bytes", "payload_bytes")]
-            + [("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64())]
-            + [("segments", pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))), ("tensors", pa.binary())]
-        )
+        schema = pa.schema(_STORED)
         for b in batches:
             rows: list[tuple] = []
             for doc_id, n_bytes, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 medium = m.as_py()
                 rate, samples = from_wav(medium)
                 mels, energy = log_mel(samples, rate)
-                tensors = to_tensors(mels)
-                spans = segments(energy)
-                digest = hashlib.sha256(from_tensors(tensors).tobytes() + repr(spans).encode()).hexdigest()[:16]
-                rows.append(
-                    (
-                        doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(medium), hashlib.sha256(medium).hexdigest(),
-                        f"{len(mels)}x{MELS}:{len(spans)}:{digest}", len(mels), [{"start_ms": s * frame_ms, "end_ms": e * frame_ms} for s, e in spans], tensors if with_tensors else None,
-                    )
-                )
+                spans = [{"start_ms": s * frame_ms, "end_ms": e * frame_ms} for s, e in segments(energy)]
+                rows.append((doc_id, n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), len(mels), spans, to_tensors(mels)))
                 if len(rows) >= ROWS:
                     yield _rows(rows, schema)
                     rows = []
             if rows:
                 yield _rows(rows, schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(extract, FEATURES)
+    return stage(media.select("doc_id", "n_bytes", "media").mapInArrow(extract, _STORED_DDL), "audio-features")
+
+
+def audio_features(stored: DataFrame) -> DataFrame:
+    """The stored features, and ``feature``, a digest of the tensors and spans that are read back; equal media give equal ones."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, spans, t in zip(b.column("n_frames").to_pylist(), b.column("segments").to_pylist(), b.column("tensors"), strict=True):
+                seen = from_tensors(t.as_buffer())
+                if seen.shape != (n, MELS):
+                    raise ValueError("stored tensors do not hold the frames that were written")
+                h = hashlib.sha256(np.ascontiguousarray(seen, "<i2").tobytes() + repr([(s["start_ms"], s["end_ms"]) for s in spans]).encode())
+                out.append(f"{n}x{MELS}:{len(spans)}:{h.hexdigest()[:16]}")
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*b.schema.names[:-1], "feature"])
+
+    return stored.mapInArrow(digest, _STORED_DDL.replace("tensors binary", "feature string"))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

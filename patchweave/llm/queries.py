@@ -18,7 +18,7 @@ def tokenizer_file(name: str) -> str:
 
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio.store_media(table(spark, sf_dir, "documents"))
-    return audio.audio_features(media, with_tensors=False).drop("tensors")
+    return audio.audio_features(audio.store_features(media))
 
 
 def op2_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,19 +13,64 @@ public = pytest.importorskip("public_tokenizers")
 PATH = str(public.path("byte_bpe_50k.json"))
 
 
+def plain_features(payload):
+    """Log-mel frames and frame energies straight from their definition, frame by frame."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    m = 16  # the low-pass has 16 taps on each side
+    t = np.arange(-m, m + 1)
+    h = np.sinc(t / 2) * np.hamming(2 * m + 1)
+    h /= h.sum()
+    y = np.convolve(x, h)[m : m + len(x) : 2]
+    n = 1 + max(0, -(-(len(y) - 200) // 80))
+    y = np.concatenate([y, np.zeros(200 + 80 * n)])
+    # beyond the end the low-pass still sees the signal's last samples
+    tail = np.convolve(x, h)[m :: 2]
+    y[: len(tail)] = tail
+    edge = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 4000 / 700), 34) / 2595) - 1)
+    f = np.arange(129) * 8000 / 256
+    out, energy = [], []
+    for k in range(n):
+        cut = y[80 * k : 80 * k + 200] * np.hanning(200)
+        power = np.abs(np.fft.rfft(cut, 256)) ** 2
+        out.append([10 * np.log10(1e-6 + sum(p * max(0, min((q - edge[j]) / (edge[j + 1] - edge[j]), (edge[j + 2] - q) / (edge[j + 2] - edge[j + 1]))) for p, q in zip(power, f))) for j in range(32)])
+        energy.append(round(float(10 * np.log10((cut * cut).mean() + 1e-6)), 2))
+    return 100 * np.array(out), energy
+
+
+def plain_spans(energy):
+    mean, on, start, out = sum(energy) / len(energy), False, 0, []
+    for i, e in enumerate(energy):
+        if not on and e > mean + 1:
+            on, start = True, i
+        elif on and e < mean - 1:
+            on = False
+            out.append((start * 10.0, i * 10.0))
+    return out + [(start * 10.0, len(energy) * 10.0)] * on
+
+
 def test_store_is_lossless_and_equal_texts_agree(spark):
-    rows = [(1, "abc"), (2, ""), (3, None), (4, "é" * 500), (5, "x" * 192), (6, "abc"), (None, "z" * 100_000)]
+    rows = [(1, "abc"), (2, ""), (3, None), (4, "é" * 500), (5, "x" * 192), (6, "abc"), (None, "z" * 30_000), (7, "".join(chr(32 + i * i % 90) * (1 + i % 400) for i in range(60)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", audio.F.lit(1))
-    got = {r.doc_id: r for r in audio.audio_features(audio.store_media(docs)).collect()}
+    stored = audio.store_features(audio.store_media(docs))
+    got = {r.doc_id: r for r in audio.audio_features(stored).collect()}
+    tensors = {r.doc_id: r.tensors for r in stored.collect()}
     for d, t in rows:
         raw = (t or "").encode()
         pad = raw + b" " * (-len(raw) % 192 or (192 if not raw else 0))
         r = got[d]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(pad), hashlib.sha256(pad).hexdigest())
         assert r.tail_crc32 == zlib.crc32(pad[-16:]) and r.media_bytes == len(pad) + 44
-        assert audio.from_tensors(r.tensors).shape == (r.n_frames, audio.MELS)
+        frames = audio.from_tensors(tensors[d])
+        mels, energy = plain_features(pad)
+        assert frames.shape == (r.n_frames, audio.MELS) and np.abs(frames - mels).max() <= 2  # hundredths of a dB
+        assert [(x.start_ms, x.end_ms) for x in r.segments] == plain_spans(energy)
+        t = audio.pa.ipc.open_stream(tensors[d]).read_all()
+        assert t.schema.field("log_mel").type == audio.pa.fixed_shape_tensor(audio.pa.int16(), [64, 32])
+        assert t.column("start_ms").to_pylist() == [640.0 * i for i in range(t.num_rows)]
+        last = (r.n_frames - 1) * 10.0 + 25.0
+        assert t.column("end_ms").to_pylist() == [min(640.0 * i + 655.0, last) for i in range(t.num_rows)]
     assert got[1].feature == got[6].feature and got[2].feature == got[3].feature and got[1].feature != got[4].feature
-    assert audio.audio_features(audio.store_media(docs.limit(0))).count() == 0
+    assert audio.audio_features(audio.store_features(audio.store_media(docs.limit(0)))).count() == 0
 
 
 def test_resampling_by_blocks_and_against_direct_filter():
