@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,15 @@ def wrapped(df: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]).alias("row")
     get = lambda n, kind: (F.col(found[n]) if n in found else F.lit(None)).cast(kind).alias(n)
     return by_place.select(row, get("doc_id", "long"), get("source", "string"), get("text", "string"))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int, nbytes: int) -> Iterator[pa.RecordBatch]:
+    """Batches of up to ``rows`` rows or about ``nbytes`` bytes; a single batch of fewer rows is not cut."""
+    held: list[pa.RecordBatch] = []
+    for b in (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows)):
+        if held and (sum(x.num_rows for x in held) + b.num_rows > rows or sum(x.nbytes for x in held) + b.nbytes > nbytes):
+            yield pa.concat_batches(held)
+            held = []
+        held.append(b)
+    if held:
+        yield pa.concat_batches(held)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import gathered, pick, stage
 from patchweave.llm.transducer import byte_alphabet
 
 END_ID = 2
@@ -275,18 +275,6 @@ def _pack(part: int, block: int, before: int, docs: list, ids: list[np.ndarray],
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of up to TEXTS rows or about TEXT_BYTES, so that a word is looked up once for many texts."""
-    held: list[pa.RecordBatch] = []
-    for b in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-        if held and (sum(x.num_rows for x in held) + b.num_rows > TEXTS or sum(x.nbytes for x in held) + b.nbytes > TEXT_BYTES):
-            yield pa.concat_batches(held)
-            held = []
-        held.append(b)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Tokenise ``docs`` and write the blocks; returns them as read back. Null ids come first, ties by text."""
 
@@ -297,7 +285,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
         part = TaskContext.get().partitionId()
         block = before = held = 0
         docs_, ids = [], []
-        for b in _gathered(batches):
+        for b in gathered(batches, TEXTS, TEXT_BYTES):
             for doc_id, x in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1)), strict=True):
                 docs_.append(doc_id)
                 ids.append(np.append(x, end))

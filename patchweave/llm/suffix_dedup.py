@@ -5,14 +5,16 @@ would shuffle every position, so the corpus is first cut at content-defined anch
 32-byte gram among the 69 in a window. Equal windows have equal anchors at equal places, so every window belongs to
 exactly one anchor, and the windows of one anchor in one document are a run, its region.
 
-1. Each task finds anchors and regions, and settles regions it has met before itself (pre-aggregation).
-2. Regions are dealt by anchor. A region equal (128 bits) to an earlier one is removed whole. An anchor with one
-   region is done. What is left, the edges of repeated passages, is a small part.
-3. The bytes of those regions are dealt by anchor, and the suffixes that start at the anchors are sorted: bottom-up
-   mergesort whose comparisons find the longest common extension by binary search over prefix polynomial hashes, then
-   verify it on the bytes. Windows are equal where right extensions share a run of the suffix order and left
-   extensions are equal, which is hash-compared and verified as well.
+1. Each task finds anchors and regions, and settles regions it has met before itself, byte by byte (pre-aggregation).
+2. Regions are dealt by anchor. An anchor with one region is done.
+3. The bytes of the others are dealt by anchor. Regions of one hash stream past the earliest of them; those that equal
+   it byte by byte are removed whole. Of the distinct ones, the edges of repeated passages, the suffixes that start at
+   the anchors are sorted: bottom-up mergesort whose comparisons find the longest common extension by binary search
+   over prefix polynomial hashes, then verify it on the bytes. Windows are equal where right extensions share a run of
+   the suffix order and left extensions are equal, which is hash-compared and verified as well.
 4. Removed spans are applied to the documents.
+
+Equal bytes have equal hashes, so hashes only choose what is compared; no byte is removed on a hash alone.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import gathered, pick, stage
 
 LENGTH = 100
 GRAM = 32
@@ -36,8 +38,12 @@ LOW = np.uint64(127)
 HOT_REGIONS = 4096
 #: Window starts that are looked at together in a long text.
 BLOCK = 1 << 20
-#: Contexts that are sorted together, if their groups allow, and texts whose regions are settled together.
-CONTEXTS, TEXTS = 8192, 2048
+#: Contexts that are sorted together, if their groups allow.
+CONTEXTS = 8192
+#: Texts, and bytes of them, whose regions are settled together.
+TEXTS, TEXT_BYTES = 1 << 16, 16 << 20
+#: Bytes that are compared in one step.
+COMPARED = 1 << 21
 #: Stands for a null id in the order of documents.
 NO_ID = (1 << 63) - 1
 
@@ -124,9 +130,32 @@ def _regions(data: np.ndarray, at: int):
 REGION_SCHEMA = "k long, r long, doc long, th long, w long"
 
 
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column, and where each row begins, with the end of the last."""
+    _, offsets, data = column.buffers()
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), at
+
+
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + length] and data[b : b + length] are equal, many at a time."""
+    out = np.ones(len(a), bool)
+    if not len(a):
+        return out
+    at = np.arange(int(length.max()))
+    top = len(data) - 1
+    step = max(1, COMPARED // max(len(at), 1))
+    for i in range(0, len(a), step):
+        t = slice(i, i + step)
+        same = data[np.minimum(a[t, None] + at, top)] == data[np.minimum(b[t, None] + at, top)]
+        out[t] = (same | (at >= length[t, None])).all(1)
+    return out
+
+
 def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Regions of each text. A region met before in the same batch comes back as done and is dealt by its document."""
-    for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+    for batch in gathered(batches, TEXTS, TEXT_BYTES):
         doc, th, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
         order = np.lexsort((th, doc))
         found, owner = [], []
@@ -147,8 +176,12 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(a))))
         first = by[head]
         twin = (doc[own[by]] == doc[own[first]]) & (th[own[by]] == th[own[first]]) & (start[by] == start[first])
+        found_before = np.flatnonzero(same & ~twin)
+        data, text_at = bytes_of(text)
+        mine, other = by[found_before], first[found_before]
+        ok = (windows[mine] == windows[other]) & equal_bytes(data, text_at[own[mine]] + start[mine], text_at[own[other]] + start[other], windows[mine] + LENGTH - 1)
         done = np.zeros(len(a), bool)
-        done[by] = same & ~twin
+        done[mine[ok]] = True
         key = np.where(done, _avalanche(th[own].astype(np.uint64) + start.astype(np.uint64)), a)
         for i in range(0, len(a), 65536):
             s = slice(i, i + 65536)
@@ -161,38 +194,49 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-CONTEXT_SCHEMA = "k long, doc long, th long, start int, lead int, windows int, bytes binary"
+CONTEXT_SCHEMA = "k long, r long, doc long, th long, start int, lead int, windows int, bytes binary"
+_CONTEXT_NAMES = ["k", "r", "doc", "th", "start", "lead", "windows", "bytes"]
+
+
+def _gather(data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces data[at : at + length] in one array, and where each begins, with the end of the last."""
+    stop = np.concatenate(([0], np.cumsum(length)))
+    return data[np.repeat(at - stop[:-1], length) + np.arange(stop[-1])], stop
+
+
+def _context_batch(k, r, doc, th, start, lead, windows, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Contexts with their bytes, data[at : at + windows + 99]."""
+    cut, stop = _gather(data, at, windows + LENGTH - 1)
+    raw = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(cut)])
+    whole = [pa.array(np.ascontiguousarray(x, np.int64)) for x in (k, r, doc, th)]
+    return pa.RecordBatch.from_arrays([*whole, *[pa.array(np.ascontiguousarray(x, np.int32)) for x in (start, lead, windows)], raw], _CONTEXT_NAMES)
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the regions listed with each document; a hot anchor's windows one by one, dealt by their own hash."""
-    names = ["k", "doc", "th", "start", "lead", "windows", "bytes"]
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for doc, th, text, edges in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            raw = memoryview(text.as_buffer())
-            for e in edges:
-                k, start, lead, windows = e["k"], e["start"], e["lead"], e["windows"]
-                if not e["hot"]:
-                    for col, x in zip(out, (k, doc, th, start, lead, windows, bytes(raw[start : start + windows + LENGTH - 1])), strict=True):
-                        col.append(x)
-                    continue
-                seen = np.frombuffer(raw[start : start + windows + LENGTH - 1], np.uint8)
-                at = np.arange(windows)
-                keys = _avalanche(PrefixHashes(seen).of(at, np.full(windows, LENGTH)) ^ np.uint64(k % (1 << 64))).astype(np.int64).tolist()
-                for j in range(windows):
-                    for col, x in zip(out, (keys[j], doc, th, start + j, 0, 1, bytes(raw[start + j : start + j + LENGTH])), strict=True):
-                        col.append(x)
-            if len(out[0]) > CONTEXTS:
-                yield _batch(out, names)
-                out = [[] for _ in names]
-        if out[0]:
-            yield _batch(out, names)
-
-
-def _batch(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+        data, text_at = bytes_of(batch.column(2))
+        lists = batch.column(3)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        edges = lists.flatten()
+        k, r, start, lead, windows, hot = (edges.field(f).to_numpy(zero_copy_only=False) for f in ("k", "r", "start", "lead", "windows", "hot"))
+        start, lead, windows = (x.astype(np.int64) for x in (start, lead, windows))
+        doc, th = (batch.column(c).to_numpy()[owner] for c in (0, 1))
+        at = text_at[:-1][owner] + start
+        cool = np.flatnonzero(~hot)
+        for i in range(0, len(cool), CONTEXTS):
+            c = cool[i : i + CONTEXTS]
+            yield _context_batch(k[c], r[c], doc[c], th[c], start[c], lead[c], windows[c], data, at[c])
+        warm = np.flatnonzero(hot)
+        for i in range(0, len(warm), CONTEXTS // 32):
+            c = warm[i : i + CONTEXTS // 32]
+            seen, stop = _gather(data, at[c], windows[c] + LENGTH - 1)
+            n = windows[c]
+            e = np.repeat(np.arange(len(c)), n)  # the context of each window
+            j = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+            own = _avalanche(PrefixHashes(seen).of(stop[:-1][e] + j, np.full(len(e), LENGTH))).astype(np.int64)
+            one = np.ones(len(e), np.int64)
+            yield _context_batch(own, own, doc[c][e], th[c][e], start[c][e] + j, one - 1, one, seen, stop[:-1][e] + j)
 
 
 class SuffixSorter:
@@ -317,31 +361,63 @@ def repeated_windows(k, doc, th, start, lead, windows, data: np.ndarray, offset:
 SPAN_SCHEMA = "doc long, th long, start int, stop int"
 
 
+def _span_batch(doc, th, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "th", "start", "stop"])
+
+
 def _edge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of one partition sorted by k; groups are taken whole, many at a time."""
+    """Spans of one partition's contexts, sorted by k, r, doc, th and start.
+
+    Contexts that equal the first of their (k, r) are told at once and not kept, so any number of them may come. The
+    distinct ones of an anchor are taken together, those of many anchors at a time.
+    """
+    first: pa.RecordBatch | None = None
     held: list[pa.RecordBatch] = []
     rows = 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
+    for batch in gathered(batches, CONTEXTS, TEXT_BYTES):
+        t = batch if first is None else pa.concat_batches([first, batch])
+        k, r, doc, th, start, lead, windows = (t.column(c).to_numpy().astype(np.int64) for c in range(7))
+        data, at = bytes_of(t.column(7))
+        opens = np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
+        head = np.maximum.accumulate(np.where(opens, np.arange(len(k)), 0))
+        i = np.flatnonzero(~opens)
+        h = head[i]
+        i, h = (x[(windows[i] == windows[h]) & (lead[i] == lead[h])] for x in (i, h))
+        ok = equal_bytes(data, at[i], at[h], windows[i] + LENGTH - 1)
+        i, h = i[ok], h[ok]
+        # Equal rows of one document bring equal contexts; those count as one occurrence.
+        again = i[(doc[i] != doc[h]) | (th[i] != th[h]) | (start[i] != start[h])]
+        if len(again):
+            yield _span_batch(doc[again], th[again], start[again], start[again] + windows[again] + LENGTH - 1)
+        new = np.ones(len(k), bool)
+        new[i] = False
+        new[0] = first is None
+        first = t.slice(int(head[-1]), 1)
+        held.append(t.filter(pa.array(new)))
+        rows += held[-1].num_rows
         if rows < CONTEXTS:
             continue
-        table = pa.Table.from_batches(held).combine_chunks()
-        k = table.column("k").to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
-        if cut:
-            yield from _spans(table.slice(0, cut))
-        held = table.slice(cut).to_batches()
-        rows = table.num_rows - cut
+        table = pa.concat_batches(held)
+        keys = table.column(0).to_numpy()
+        cut = int(np.searchsorted(keys, k[-1]))  # the last group may go on
+        yield from _spans(table.slice(0, cut))
+        held, rows = [table.slice(cut)], len(keys) - cut
     if rows:
-        yield from _spans(pa.Table.from_batches(held))
+        yield from _spans(pa.concat_batches(held))
 
 
-def _spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    k, doc, th, start, lead, windows = (table.column(c).to_numpy().astype(np.int64) for c in ("k", "doc", "th", "start", "lead", "windows"))
-    data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
-    offset = np.concatenate(([0], np.cumsum(windows + LENGTH - 1)[:-1]))
-    again = repeated_windows(k, doc, th, start, lead, windows, data, offset)
+def _spans(contexts: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows that distinct contexts of one anchor share."""
+    if not contexts.num_rows:
+        return
+    k = contexts.column(0).to_numpy()
+    same = np.concatenate(([False], k[1:] == k[:-1], [False]))
+    contexts = contexts.filter(pa.array(same[1:] | same[:-1]))
+    if not contexts.num_rows:
+        return
+    k, _, doc, th, start, lead, windows = (contexts.column(c).to_numpy().astype(np.int64) for c in range(7))
+    data, offset = bytes_of(contexts.column(7))
+    again = repeated_windows(k, doc, th, start, lead, windows, data, offset[:-1])
     i, d = np.nonzero(again)
     if not len(i):
         return
@@ -350,10 +426,7 @@ def _spans(table: pa.Table) -> Iterator[pa.RecordBatch]:
     i, at = i[by], at[by]
     head = np.flatnonzero(np.concatenate(([True], (i[1:] != i[:-1]) | (at[1:] != at[:-1] + 1))))
     tail = np.append(head[1:], len(i)) - 1
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[i[head]]), pa.array(th[i[head]]), pa.array(at[head].astype(np.int32)), pa.array((at[tail] + LENGTH).astype(np.int32))],
-        ["doc", "th", "start", "stop"],
-    )
+    yield _span_batch(doc[i[head]], th[i[head]], at[head], at[tail] + LENGTH)
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -402,7 +475,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int =
     base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), raw.alias("raw"))
     by_region = Window.partitionBy("done", "k", "r").orderBy("doc", "th", "start")
     by_anchor = Window.partitionBy("done", "k")
-    # One exchange by k serves all three windows.
+    # One exchange by k serves all windows.
     w = F.col("w")
     marked = (
         base.mapInArrow(_region_rows, REGION_SCHEMA)
@@ -412,23 +485,21 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int =
         )
         .select("k", "r", "doc", "th", "start", F.shiftright("low", 9).alias("lead"), F.shiftright("low", 1).bitwiseAND(0xFF).alias("windows"), "done")
         .withColumn("again", F.rank().over(by_region) > 1)
-        .withColumn("differs", F.min("r").over(by_anchor) != F.max("r").over(by_anchor))
-        .where("done or again or differs")
+        .withColumn("n", F.count("*").over(by_anchor))
+        .where("done or n > 1")
         .withColumn("hot", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(by_anchor) > hot_regions)
-        .withColumn("whole", F.col("done") | F.col("again"))
     )
     span = F.struct("start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop"))
     per_doc = stage(
         marked.groupBy("doc", "th").agg(
-            F.collect_list(F.when(F.col("whole"), span)).alias("spans"),
-            F.collect_set(F.when(~F.col("whole"), F.struct("k", "start", "lead", "windows", "hot"))).alias("edges"),
+            F.collect_list(F.when(F.col("done"), span)).alias("spans"),
+            F.collect_set(F.when(~F.col("done"), F.struct("k", "r", "start", "lead", "windows", "hot"))).alias("edges"),
         ),
         "repeat-regions",
     )
     edges = per_doc.where(F.size("edges") > 0).select("doc", "th", "edges").hint("shuffle_hash")
     contexts = base.join(edges, ["doc", "th"]).select("doc", "th", "raw", "edges").mapInArrow(_context_rows, CONTEXT_SCHEMA)
-    # Equal rows of one document bring equal contexts; those count as one occurrence.
-    found = contexts.repartition("k").sortWithinPartitions("k").mapInArrow(_edge_spans, SPAN_SCHEMA)
+    found = contexts.repartition("k").sortWithinPartitions("k", "r", "doc", "th", "start").mapInArrow(_edge_spans, SPAN_SCHEMA)
     spans = (
         per_doc.select("doc", "th", "spans")
         .unionByName(found.select("doc", "th", F.array(F.struct("start", "stop")).alias("spans")))

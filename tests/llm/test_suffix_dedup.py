@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from patchweave.llm import suffix_dedup as sd
@@ -65,3 +67,35 @@ def test_empty_and_repeated_rows(spark):
     t = "".join(chr(97 + i * i % 26) + str(i) for i in range(90))
     docs = spark.createDataFrame([(1, t), (1, t), (2, t)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_removed) for r in sd.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, len(t))]
+
+
+@pytest.mark.parametrize("seed,collide,block,contexts", [(4, True, 1 << 20, 8192), (5, True, 150, 7), (6, False, 150, 3), (7, False, 1 << 20, 1)])
+def test_steps_in_one_process(monkeypatch, seed, collide, block, contexts):
+    """All hashes of regions collide: nothing may go that the bytes do not prove. Also with texts and groups cut small."""
+    real = sd.regions
+    if collide:
+        monkeypatch.setattr(sd, "regions", lambda data: (lambda a, r, *x: (a, np.zeros_like(r), *x))(*real(data)))
+    monkeypatch.setattr(sd, "BLOCK", block)
+    monkeypatch.setattr(sd, "CONTEXTS", contexts)
+    rows = sorted(((d, t or "") for d, t in corpus(seed, 50) if d is not None), key=lambda x: x[0])
+    texts = {d: t.encode() for d, t in rows}
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([0] * len(part)), pa.array([t.encode() for _, t in part], pa.binary())], ["doc", "th", "raw"])
+    spans, found = {d: [] for d in texts}, []
+    for part in (rows[:60], rows[60:]):
+        for b in sd._region_rows(iter([batch(part)])):
+            for k, r, doc, _, w in zip(*(c.to_pylist() for c in b.columns)):
+                start, lead, windows, done = w >> 16, w >> 9 & 127, w >> 1 & 255, w & 1
+                if done:
+                    spans[doc].append({"start": start, "stop": start + windows + 99})
+                else:
+                    found.append((k, r, doc, 0, start, lead, windows, texts[doc][start : start + windows + 99]))
+    found.sort(key=lambda x: x[:5])
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+    made = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found[i : i + 50]), kinds)], sd._CONTEXT_NAMES) for i in range(0, len(found), 50)]
+    for b in sd._edge_spans(iter(made)):
+        for doc, _, start, stop in zip(*(c.to_pylist() for c in b.columns)):
+            spans[doc].append({"start": start, "stop": stop})
+    want = brute(rows)
+    for d, raw in texts.items():
+        runs = sd.merged(spans[d])
+        assert (sum(e - s for s, e in runs), len(runs)) == want[d][1:3], d
