@@ -33,9 +33,9 @@ LEAST = 8
 #: Pairs with this share of the round's highest count are replaced together; lower ones wait for later rounds.
 SHARE = 1 / 64
 #: Words that a worker remembers.
-MEMO = 700_000
+MEMO = 1_200_000
 #: Texts, and bytes of them, that are encoded together.
-TEXTS, TEXT_BYTES = 4096, 16 << 20
+TEXTS, TEXT_BYTES = 6144, 24 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
@@ -117,8 +117,11 @@ class Encoder:
         words = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(pc.utf8_lower(plain), _STOP, r"\1 \2\3"), "\n", " "), " ")
         numbered = words.flatten().dictionary_encode()
         distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
-        self._learn([w for w in distinct if w not in memo])
-        pieces = list(map(memo.__getitem__, distinct))
+        pieces = list(map(memo.get, distinct))
+        new = [i for i, x in enumerate(pieces) if x is None]
+        self._learn([distinct[i] for i in new])
+        for i in new:
+            pieces[i] = memo[distinct[i]]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
         ids = np.frombuffer(b"".join(pieces), "<u4")
         n = size[at]
@@ -146,23 +149,21 @@ def encoder(path: str) -> Encoder:
 _LEFT, _RIGHT, _BITS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), 20
 
 
-def pair_counts(seq: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places, pair of each place, pairs as left << 32 | right, exact counts), without most pairs that are rarer than ``least``.
+def pair_counts(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(which places stay, pair of each that does, pairs as left << 32 | right, exact counts); None if all stay.
 
-    A pair does not leave its document. Hashed counts leave out rare pairs, so that few are counted exactly.
+    Where places are many, hashed counts leave out most pairs that are rarer than ``least`` before exact counts.
     """
-    bucket = seq[:-1] * _LEFT
-    bucket ^= seq[1:] * _RIGHT
-    bucket >>= np.uint32(32 - _BITS)
-    bucket[end[:-1]] = 0
-    counts = np.bincount(bucket, minlength=1 << _BITS)
-    often = counts >= least
-    at = np.flatnonzero(often[bucket])
-    if often[0]:
-        at = at[~end[at]]
-    pairs = pa.array(seq[at].astype(np.int64) << 32 | seq[at + 1]).dictionary_encode()
+    stay = None
+    if len(left) > 1 << 16:
+        bucket = left * _LEFT
+        bucket ^= right * _RIGHT
+        bucket >>= np.uint32(32 - _BITS)
+        stay = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket])
+        left, right = left[stay], right[stay]
+    pairs = pa.array(left.astype(np.int64) << 32 | right).dictionary_encode()
     which = pairs.indices.to_numpy()
-    return at, which, pairs.dictionary.to_numpy(), np.bincount(which, minlength=len(pairs.dictionary))
+    return stay, which, pairs.dictionary.to_numpy(), np.bincount(which, minlength=len(pairs.dictionary))
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, share: float = SHARE):
@@ -172,46 +173,73 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, s
     ``least`` times, and ``share`` of the highest count, are ranked by count, equal ones at random; a place is replaced if no place that
     overlaps it has a better rank, in a run of one pair every other place. Rounds end when no pair occurs ``least``
     times (4 or more, so that the best pair is always replaced twice).
+
+    After the first round only pairs that were frequent, or have a new symbol, can be frequent, so only those are
+    counted. Symbols are linked to their neighbours, and holes go at the end, so late rounds touch little.
     """
+    n = len(ids)
     seq, end = ids.astype(np.uint32), ends.copy()
+    after = np.arange(1, n + 1, dtype=np.int32)
+    before = np.arange(-1, n, dtype=np.int32)
     rules: list[np.ndarray] = []
     size = np.ones(0, np.int64)
     length_of = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)] if len(size) else 1)
     none = np.iinfo(np.int32).max
-    while len(seq) > 1:
-        at, which, pairs, n = pair_counts(seq, end, least)
-        top = int(n.max(initial=0))
+    place = np.full(n + 1, none, np.int32)  # the last one stands for what is beyond both ends
+    alive = np.ones(n, bool)
+    places = np.flatnonzero(~end[:-1]).astype(np.int32)  # a pair does not leave its document
+    while True:
+        stay, which, pairs, times = pair_counts(seq[places], seq[after[places]], least)
+        places = places if stay is None else places[stay]
+        top = int(times.max(initial=0))
         if top < least:
             break
-        often = np.flatnonzero(n >= max(least, top * share))
+        often = np.flatnonzero(times >= max(least, top * share))
         chance = pairs[often].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-        rank = np.full(len(n), none, np.int32)
-        rank[often[np.lexsort((chance, -n[often]))]] = np.arange(len(often))
+        rank = np.full(len(times), none, np.int32)
+        rank[often[np.lexsort((chance, -times[often]))]] = np.arange(len(often))
         mine = rank[which]
-        at, mine = at[mine < none], mine[mine < none]
-        place = np.full(len(seq) + 1, none, np.int32)
+        ranked = mine < none
+        at, mine = places[ranked], mine[ranked]
         place[at] = mine
-        before, after = place[at - 1], place[at + 1]  # the place before the first is the last, which starts no pair
+        left, right = before[at], after[at]
+        same = np.concatenate(([False], (left[1:] == at[:-1]) & (mine[1:] == mine[:-1])))
         i = np.arange(len(at))
-        run = i - np.maximum.accumulate(np.where(before == mine, 0, i))
-        wins = (run % 2 == 0) & (before >= mine) & (after >= mine)
+        run = i - np.maximum.accumulate(np.where(same, 0, i))
+        wins = (run % 2 == 0) & (place[left] >= mine) & (place[right] >= mine)
+        place[at] = none
         at, mine = at[wins], mine[wins]
         gains = np.bincount(mine, minlength=len(often)) > 1
         number = (np.cumsum(gains) - 1).astype(np.int32)
         at, mine = at[gains[mine]], mine[gains[mine]]
+        gone = after[at]
         example = np.zeros(len(often), np.int64)
-        example[mine] = at
+        example[mine] = np.arange(len(at))
         example = example[gains]
-        pair = np.stack([seq[example], seq[example + 1]], 1).astype(np.int64)
+        pair = np.stack([seq[at[example]], seq[gone[example]]], 1).astype(np.int64)
         new = length_of(pair[:, 0]) + length_of(pair[:, 1])
+        place[at] = place[gone] = 0  # touched
+        still = places[times[which] >= least]
+        still = still[(place[still] == none) & (place[after[still]] == none)]
+        place[at] = place[gone] = none
         seq[at] = (base + len(size) + number[mine]).astype(np.uint32)
-        end[at] = end[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, end = seq[keep], end[keep]
+        end[at] = end[gone]
+        alive[gone] = False
+        right = after[gone]
+        after[at] = right
+        before[right] = at
+        left = before[at]
+        count = np.concatenate([still, at, left[left >= 0]])
+        count = count[~end[count]]
+        if len(count) > n // 16:
+            mark = np.zeros(n, bool)
+            mark[count] = True
+            places = np.flatnonzero(mark).astype(np.int32)
+        else:
+            places = np.unique(count)
         rules.append(pair)
         size = np.concatenate([size, new])
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), size, np.flatnonzero(end)
+    return seq[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), size, np.flatnonzero(end[alive])
 
 
 class Grammar:
