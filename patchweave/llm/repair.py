@@ -35,7 +35,7 @@ SHARE = 1 / 64
 #: Words that a worker remembers.
 MEMO = 1_200_000
 #: Texts, and bytes of them, that are encoded together.
-TEXTS, TEXT_BYTES = 6144, 24 << 20
+TEXTS, TEXT_BYTES = 4096, 16 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
@@ -149,17 +149,20 @@ def encoder(path: str) -> Encoder:
 _LEFT, _RIGHT, _BITS = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), 20
 
 
-def pair_counts(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+def pair_counts(left: np.ndarray, right: np.ndarray, least: int, skip: np.ndarray | None = None) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
     """(which places stay, pair of each that does, pairs as left << 32 | right, exact counts); None if all stay.
 
     Where places are many, hashed counts leave out most pairs that are rarer than ``least`` before exact counts.
     """
     stay = None
-    if len(left) > 1 << 16:
+    if skip is not None or len(left) > 1 << 16:
         bucket = left * _LEFT
         bucket ^= right * _RIGHT
         bucket >>= np.uint32(32 - _BITS)
-        stay = np.flatnonzero((np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket])
+        often = (np.bincount(bucket, minlength=1 << _BITS) >= least)[bucket]
+        if skip is not None:
+            often &= ~skip
+        stay = np.flatnonzero(often).astype(np.int32)
         left, right = left[stay], right[stay]
     pairs = pa.array(left.astype(np.int64) << 32 | right).dictionary_encode()
     which = pairs.indices.to_numpy()
@@ -169,28 +172,27 @@ def pair_counts(left: np.ndarray, right: np.ndarray, least: int) -> tuple[np.nda
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, share: float = SHARE):
     """Re-Pair: (sequence, rules as rows of left and right, expansion length of each rule, index in the sequence of each document's end).
 
-    ``ends`` marks the last id of each document; ``base`` is the first nonterminal. In each round the pairs that occur
-    ``least`` times, and ``share`` of the highest count, are ranked by count, equal ones at random; a place is replaced if no place that
-    overlaps it has a better rank, in a run of one pair every other place. Rounds end when no pair occurs ``least``
-    times (4 or more, so that the best pair is always replaced twice).
+    ``ends`` marks the last id of each document, which starts no pair; ``base`` is the first nonterminal. In each round
+    the pairs that occur ``least`` times, and ``share`` of the highest count, are ranked by count, equal ones at random;
+    a place is replaced if no place that overlaps it has a better rank, in a run of one pair every other place. Rounds
+    end when no pair occurs ``least`` times (4 or more, so that the best pair is always replaced twice).
 
-    After the first round only pairs that were frequent, or have a new symbol, can be frequent, so only those are
-    counted. Symbols are linked to their neighbours, and holes go at the end, so late rounds touch little.
+    While rounds replace much, the sequence is closed up after each and counted whole. Then symbols are linked to their
+    neighbours, and only pairs that were frequent or have a new symbol are counted, as no others can be frequent.
     """
-    n = len(ids)
     seq, end = ids.astype(np.uint32), ends.copy()
-    after = np.arange(1, n + 1, dtype=np.int32)
-    before = np.arange(-1, n, dtype=np.int32)
     rules: list[np.ndarray] = []
     size = np.ones(0, np.int64)
     length_of = lambda s: np.where(s < base, 1, size[np.maximum(s - base, 0)] if len(size) else 1)
     none = np.iinfo(np.int32).max
-    place = np.full(n + 1, none, np.int32)  # the last one stands for what is beyond both ends
-    alive = np.ones(n, bool)
-    places = np.flatnonzero(~end[:-1]).astype(np.int32)  # a pair does not leave its document
-    while True:
-        stay, which, pairs, times = pair_counts(seq[places], seq[after[places]], least)
-        places = places if stay is None else places[stay]
+    place = np.full(len(seq) + 1, none, np.int32)  # the last one stands for what is beyond both ends
+    linked = False
+    while len(seq) > 1:
+        if linked:
+            stay, which, pairs, times = pair_counts(seq[places], seq[after[places]], least)
+            places = places if stay is None else places[stay]
+        else:
+            places, which, pairs, times = pair_counts(seq[:-1], seq[1:], least, end[:-1])
         top = int(times.max(initial=0))
         if top < least:
             break
@@ -202,7 +204,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, s
         ranked = mine < none
         at, mine = places[ranked], mine[ranked]
         place[at] = mine
-        left, right = before[at], after[at]
+        left, right = (before[at], after[at]) if linked else (at - 1, at + 1)
         same = np.concatenate(([False], (left[1:] == at[:-1]) & (mine[1:] == mine[:-1])))
         i = np.arange(len(at))
         run = i - np.maximum.accumulate(np.where(same, 0, i))
@@ -211,35 +213,44 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, s
         at, mine = at[wins], mine[wins]
         gains = np.bincount(mine, minlength=len(often)) > 1
         number = (np.cumsum(gains) - 1).astype(np.int32)
-        at, mine = at[gains[mine]], mine[gains[mine]]
-        gone = after[at]
+        if not gains.all():
+            at, mine = at[gains[mine]], mine[gains[mine]]
+        gone = after[at] if linked else at + 1
         example = np.zeros(len(often), np.int64)
         example[mine] = np.arange(len(at))
         example = example[gains]
         pair = np.stack([seq[at[example]], seq[gone[example]]], 1).astype(np.int64)
         new = length_of(pair[:, 0]) + length_of(pair[:, 1])
-        place[at] = place[gone] = 0  # touched
-        still = places[times[which] >= least]
-        still = still[(place[still] == none) & (place[after[still]] == none)]
-        place[at] = place[gone] = none
+        if linked:
+            place[at] = place[gone] = 0  # touched
+            still = places[times[which] >= least]
+            still = still[(place[still] == none) & (place[after[still]] == none)]
+            place[at] = place[gone] = none
         seq[at] = (base + len(size) + number[mine]).astype(np.uint32)
         end[at] = end[gone]
-        alive[gone] = False
-        right = after[gone]
-        after[at] = right
-        before[right] = at
-        left = before[at]
-        count = np.concatenate([still, at, left[left >= 0]])
-        count = count[~end[count]]
-        if len(count) > n // 16:
-            mark = np.zeros(n, bool)
-            mark[count] = True
-            places = np.flatnonzero(mark).astype(np.int32)
-        else:
-            places = np.unique(count)
         rules.append(pair)
         size = np.concatenate([size, new])
-    return seq[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), size, np.flatnonzero(end[alive])
+        if linked:
+            alive[gone] = False
+            right = after[gone]
+            after[at] = right
+            before[right] = at
+            left = before[at]
+            places = np.unique(np.concatenate([still, at, left[left >= 0]]))
+            places = places[~end[places]]
+            continue
+        keep = np.ones(len(seq), bool)
+        keep[gone] = False
+        seq, end = seq[keep], end[keep]
+        n = len(seq)
+        place = place[: n + 1]
+        if len(at) < n // 32:
+            linked, alive = True, np.ones(n, bool)
+            after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+            places = np.flatnonzero(~end[:-1]).astype(np.int32)
+    if linked:
+        seq, end = seq[alive], end[alive]
+    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), size, np.flatnonzero(end)
 
 
 class Grammar:
