@@ -6,12 +6,13 @@ would shuffle every position, so the corpus is first cut at content-defined anch
 exactly one anchor, and the windows of one anchor in one document are a run, its region.
 
 1. Each task finds anchors and regions, and settles regions it has met before itself, byte by byte (pre-aggregation).
-2. Regions are dealt by anchor. An anchor with one region is done.
-3. The bytes of the others are dealt by anchor. Regions of one hash stream past the earliest of them; those that equal
-   it byte by byte are removed whole. Of the distinct ones, the edges of repeated passages, the suffixes that start at
-   the anchors are sorted: bottom-up mergesort whose comparisons find the longest common extension by binary search
-   over prefix polynomial hashes, then verify it on the bytes. Windows are equal where right extensions share a run of
-   the suffix order and left extensions are equal, which is hash-compared and verified as well.
+2. Regions are dealt by anchor. An anchor with one region is done. A region whose hash an earlier one has claims to
+   repeat it; claims of neighbouring regions on neighbouring places join, their bytes are sent to the earlier document
+   and compared there. Should one be false, hashes have collided and step 3 takes all regions of repeated anchors.
+3. Of an anchor's distinct regions, the edges of repeated passages, the bytes are dealt by anchor, and the suffixes that
+   start at the anchors are sorted: bottom-up mergesort whose comparisons find the longest common extension by binary
+   search over prefix polynomial hashes, then verify it on the bytes. Windows are equal where right extensions share a
+   run of the suffix order and left extensions are equal, which is hash-compared and verified as well.
 4. Removed spans are applied to the documents.
 
 Equal bytes have equal hashes, so hashes only choose what is compared; no byte is removed on a hash alone.
@@ -153,8 +154,11 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarr
     return out
 
 
-def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Regions of each text. A region met before in the same batch comes back as done and is dealt by its document."""
+def _region_rows(batches: Iterator[pa.RecordBatch], bits: int = 64) -> Iterator[pa.RecordBatch]:
+    """Regions of each text. A region met before in the same batch comes back as done and is dealt by its document.
+
+    Hashes of regions have the low ``bits`` only (tests let them collide).
+    """
     for batch in gathered(batches, TEXTS, TEXT_BYTES):
         doc, th, text = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
         order = np.lexsort((th, doc))
@@ -168,6 +172,7 @@ def _region_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         a, r, start, lead, windows = (np.concatenate(x) for x in zip(*found, strict=True))
         own = np.concatenate(owner)
+        r = r & np.uint64((1 << bits) - 1)
         # Rows are in order of document and start here, so the first of equal regions is the earliest. Equal rows of one
         # document (doc, th) are one document: their regions all count as first.
         by = np.lexsort((np.arange(len(a)), r, a))
@@ -239,6 +244,48 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _context_batch(own, own, doc[c][e], th[c][e], start[c][e] + j, one - 1, one, seen, stop[:-1][e] + j)
 
 
+#: Bytes after which a claim of repeated bytes ends and the next begins, and bytes of claims that are sent together.
+CLAIM, CLAIMS = 1 << 16, 8 << 20
+CLAIM_SCHEMA = "doc long, th long, start int, stop int, doc0 long, th0 long, start0 int, bytes binary"
+
+
+def _claim_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the spans that each document claims to repeat; equal rows of one document claim once."""
+    names = [c.split(" ")[0] for c in CLAIM_SCHEMA.split(", ")]
+    told: set[tuple[int, int]] = set()
+    for batch in batches:
+        data, text_at = bytes_of(batch.column(2))
+        lists = batch.column(3)
+        ids = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        new = np.zeros(len(ids), bool)
+        for i, x in enumerate(ids):
+            new[i] = x not in told
+            told.add(x)
+        owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        claims = lists.flatten()
+        start, windows, doc0, th0, start0 = (claims.field(f).to_numpy() for f in ("start", "windows", "doc0", "th0", "start0"))
+        by = np.lexsort((start, owner))
+        by = by[new[owner[by]]]
+        if not len(by):
+            continue
+        owner, start, windows, doc0, th0, start0 = (x[by].astype(np.int64) for x in (owner, start, windows, doc0, th0, start0))
+        # neighbours that claim neighbouring places
+        goes_on = (owner[1:] == owner[:-1]) & (doc0[1:] == doc0[:-1]) & (th0[1:] == th0[:-1]) & (start[1:] - start[:-1] == start0[1:] - start0[:-1])
+        goes_on &= (start[1:] == start[:-1] + windows[:-1]) & (start[1:] // CLAIM == start[:-1] // CLAIM)
+        head = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+        tail = np.append(head[1:], len(by)) - 1
+        length = start[tail] + windows[tail] + LENGTH - 1 - start[head]
+        run = np.cumsum(length)
+        cuts = [0, *(np.flatnonzero(np.diff(run // CLAIMS)) + 1).tolist(), len(head)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            h, n = head[a:z], length[a:z]
+            seen, stop = _gather(data, text_at[:-1][owner[h]] + start[h], n)
+            raw = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(stop.astype(np.int32)), pa.py_buffer(seen)])
+            doc, th = (batch.column(c).to_numpy()[owner[h]] for c in (0, 1))
+            whole = [pa.array(x, k) for x, k in zip((doc, th, start[h], start[h] + n, doc0[h], th0[h], start0[h]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*whole, raw], names)
+
+
 class SuffixSorter:
     """Sorts suffixes data[start : start + length] within groups by mergesort; comparisons use prefix hashes."""
 
@@ -462,49 +509,76 @@ def _apply(with_kept: bool):
     return apply
 
 
-def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int = HOT_REGIONS) -> DataFrame:
-    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (if asked for), spans.
-
-    Order is by doc_id, then position; rows without an id come after all others. Null and empty texts have no bytes;
-    texts under 100 bytes keep all. Rows of one id with different texts are ordered by a hash of the text; rows of one
-    id with equal texts are one document and get equal results. Very long texts are worked on in blocks. An empty table
-    gives no rows; extra columns are ignored.
-    """
-    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
-    # One exchange of the texts by document serves both joins below.
-    base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), raw.alias("raw"))
+def _marked(base: DataFrame, hot_regions: int, bits: int) -> DataFrame:
+    """Regions with what their anchor and hash tell: the first region of the hash, whether it is another, and how many there are."""
     by_region = Window.partitionBy("done", "k", "r").orderBy("doc", "th", "start")
     by_anchor = Window.partitionBy("done", "k")
     # One exchange by k serves all windows.
     w = F.col("w")
-    marked = (
-        base.mapInArrow(_region_rows, REGION_SCHEMA)
+    return (
+        base.mapInArrow(lambda batches: _region_rows(batches, bits), REGION_SCHEMA)
         .repartition("k")
         .select(
             "k", "r", "doc", "th", F.shiftright(w, 16).cast("int").alias("start"), w.bitwiseAND(0xFFFF).cast("int").alias("low"), (w.bitwiseAND(1) == 1).alias("done")
         )
         .select("k", "r", "doc", "th", "start", F.shiftright("low", 9).alias("lead"), F.shiftright("low", 1).bitwiseAND(0xFF).alias("windows"), "done")
-        .withColumn("again", F.rank().over(by_region) > 1)
+        .withColumn("first", F.first(F.struct("doc", "th", "start")).over(by_region))
+        .withColumn("again", (F.struct("doc", "th", "start") != F.col("first")) & ~F.col("done"))
         .withColumn("n", F.count("*").over(by_anchor))
+        .withColumn("differs", F.min("r").over(by_anchor) != F.max("r").over(by_anchor))
         .where("done or n > 1")
         .withColumn("hot", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(by_anchor) > hot_regions)
     )
+
+
+def _per_document(marked: DataFrame, claims: bool) -> DataFrame:
+    """doc, th, spans that are settled, claims, and edges; without ``claims`` all regions of repeated anchors are edges."""
     span = F.struct("start", (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("stop"))
-    per_doc = stage(
-        marked.groupBy("doc", "th").agg(
+    claim = F.struct("start", "windows", F.col("first.doc").alias("doc0"), F.col("first.th").alias("th0"), F.col("first.start").alias("start0"))
+    edge = F.struct("k", "r", "start", "lead", "windows", "hot")
+    wanted = marked.where("done or again or differs") if claims else marked
+    is_claim = F.col("again") if claims else F.lit(False)
+    return stage(
+        wanted.groupBy("doc", "th").agg(
             F.collect_list(F.when(F.col("done"), span)).alias("spans"),
-            F.collect_set(F.when(~F.col("done"), F.struct("k", "r", "start", "lead", "windows", "hot"))).alias("edges"),
+            F.collect_set(F.when(is_claim, claim)).alias("claims"),
+            F.collect_set(F.when(~F.col("done") & ~is_claim, edge)).alias("edges"),
         ),
         "repeat-regions",
     )
+
+
+def _verified(base: DataFrame, per_doc: DataFrame) -> DataFrame:
+    """doc, th, start, stop, same: each joined claim, and whether the earlier document has these bytes at that place."""
+    mine = per_doc.where(F.size("claims") > 0).select("doc", "th", "claims").hint("shuffle_hash")
+    rows = base.join(mine, ["doc", "th"]).select("doc", "th", "raw", "claims").mapInArrow(_claim_rows, CLAIM_SCHEMA)
+    old = base.select(F.col("doc").alias("doc0"), F.col("th").alias("th0"), "raw")
+    same = F.expr("substring(raw, start0 + 1, octet_length(bytes)) = bytes").alias("same")
+    return stage(old.join(rows.hint("shuffle_hash"), ["doc0", "th0"]).select("doc", "th", "start", "stop", same), "verified-claims")
+
+
+def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int = HOT_REGIONS, bits: int = 64) -> DataFrame:
+    """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (if asked for), spans.
+
+    Order is by doc_id, then position; rows without an id come after all others. Null and empty texts have no bytes;
+    texts under 100 bytes keep all. Rows of one id with different texts are ordered by a hash of the text; rows of one
+    id with equal texts are one document and get equal results. Very long texts are worked on in blocks. An empty table
+    gives no rows; extra columns are ignored.
+    """
+    raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    # One exchange of the texts by document serves all joins below.
+    base = pick(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("th"), raw.alias("raw"))
+    marked = _marked(base, hot_regions, bits)
+    per_doc = _per_document(marked, claims=True)
+    repeats = _verified(base, per_doc)
+    if repeats.where("not same").limit(1).count():
+        per_doc = _per_document(marked, claims=False)
+        repeats = repeats.limit(0)
     edges = per_doc.where(F.size("edges") > 0).select("doc", "th", "edges").hint("shuffle_hash")
     contexts = base.join(edges, ["doc", "th"]).select("doc", "th", "raw", "edges").mapInArrow(_context_rows, CONTEXT_SCHEMA)
     found = contexts.repartition("k").sortWithinPartitions("k", "r", "doc", "th", "start").mapInArrow(_edge_spans, SPAN_SCHEMA)
-    spans = (
-        per_doc.select("doc", "th", "spans")
-        .unionByName(found.select("doc", "th", F.array(F.struct("start", "stop")).alias("spans")))
-        .groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    )
+    more = repeats.select("doc", "th", "start", "stop").unionByName(found).select("doc", "th", F.array(F.struct("start", "stop")).alias("spans"))
+    spans = per_doc.select("doc", "th", "spans").unionByName(more).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     return base.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc", "raw", "spans").mapInArrow(_apply(with_kept), RESULT_SCHEMA)
 
 
