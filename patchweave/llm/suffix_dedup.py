@@ -42,9 +42,9 @@ BLOCK = 1 << 20
 #: Contexts that are sorted together, if their groups allow.
 CONTEXTS = 8192
 #: Texts, and bytes of them, whose regions are settled together.
-TEXTS, TEXT_BYTES = 1 << 16, 16 << 20
+TEXTS, TEXT_BYTES = 1 << 16, 8 << 20
 #: Bytes that are compared in one step.
-COMPARED = 1 << 21
+COMPARED = 1 << 20
 #: Stands for a null id in the order of documents.
 NO_ID = (1 << 63) - 1
 
@@ -245,7 +245,7 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 #: Bytes after which a claim of repeated bytes ends and the next begins, and bytes of claims that are sent together.
-CLAIM, CLAIMS = 1 << 16, 8 << 20
+CLAIM, CLAIMS = 1 << 16, 1 << 20
 CLAIM_SCHEMA = "doc long, th long, start int, stop int, doc0 long, th0 long, start0 int, bytes binary"
 
 
