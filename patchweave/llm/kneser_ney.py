@@ -35,8 +35,10 @@ QUANTILES = (0.98, 0.985, 0.99, 0.995, 1.0)
 LEAST_TRUSTED = 20
 #: Trusted ids (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Characters that are counted or scored together.
-BLOCK = 1 << 21
+#: Characters that are counted or scored together, and blocks whose counts are summed together.
+BLOCK, BLOCKS = 1 << 21, 8
+#: Windows whose costs a worker remembers (12 bytes each); beyond that it starts anew.
+MEMO = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -190,17 +192,35 @@ def keys_of(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def distinct_windows(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of the distinct rows, a row that has each, which of them each row is), by hashing instead of sorting."""
+    found = pa.array(keys_of(w).view(np.int64)).dictionary_encode()
+    which = found.indices.to_numpy()
+    keys = found.dictionary.to_numpy().view(np.uint64)
+    row = np.empty(len(keys), np.int64)
+    row[which] = np.arange(len(which))
+    return keys, row, which
+
+
 def char_counts(trusted: DataFrame) -> DataFrame:
     """(gram, c): occurrences in ``trusted`` (text) of each string of CHARS real characters. Each task sends its sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, codes, total = np.zeros(0, np.uint64), np.zeros((0, CHARS), np.uint32), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, first, where = np.unique(np.concatenate([k for k, _, _ in held]), return_index=True, return_inverse=True)
+            return keys, np.concatenate([w for _, w, _ in held])[first], np.bincount(where, np.concatenate([c for _, _, c in held]), len(keys)).astype(np.int64)
+
         for part in _blocks(t for b in batches for t in b.column(0).to_pylist() if t):
             w, _ = windows(part)
-            k, at, c = np.unique(keys_of(w), return_index=True, return_counts=True)
-            keys, first, where = np.unique(np.concatenate((keys, k)), return_index=True, return_inverse=True)
-            codes = np.concatenate((codes, w[at]))[first]
-            total = np.bincount(where, np.concatenate((total, c)), len(keys)).astype(np.int64)
+            k, row, which = distinct_windows(w)
+            held.append((k, w[row], np.bincount(which, minlength=len(k))))
+            if len(held) > BLOCKS:
+                held = [summed()]
+        if not held:
+            return
+        keys, codes, total = summed()
         for i in range(0, len(keys), 1 << 17):
             text = np.ascontiguousarray(codes[i : i + (1 << 17)]).view(f"<U{CHARS}").ravel().tolist()
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(total[i : i + (1 << 17)])], ["gram", "c"])
@@ -263,10 +283,10 @@ def _keyed(model: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarr
                 at = np.flatnonzero(n == k)
                 if len(at):
                     out[at] = keys_of(np.frombuffer("".join(grams_[i] for i in at).encode("utf-32-le"), np.uint32).reshape(-1, k))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["kind", "n", "k", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["seen", "n", "k", "v"])
 
-    t = model.select("kind", "n", "gram", "v").mapInArrow(keys, "kind string, n int, k long, v float").toArrow()
-    kind, n = (t.column(0).to_numpy() == "a"), t.column(1).to_numpy()
+    t = model.select((F.col("kind") == "a").alias("seen"), F.col("n").cast("byte").alias("n"), "gram", "v").mapInArrow(keys, "seen boolean, n byte, k long, v float").toArrow()
+    kind, n = t.column(0).to_numpy(), t.column(1).to_numpy()
     k, v, out = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy(), {}
     for name, mine in (("a", kind), ("g", ~kind)):
         for order in range(CHARS + 1):
@@ -307,6 +327,26 @@ def char_costs(w: np.ndarray, model: dict, dense: np.ndarray) -> np.ndarray:
 
 #: The table of the class model that a worker used last, by the model's name.
 _dense: dict[str, np.ndarray] = {}
+#: Sorted keys of windows that a worker has met, and their costs, by the name of the model and its block.
+_costs: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+
+
+def remembered_costs(name: tuple[str, int], keys: np.ndarray, cost_of) -> np.ndarray:
+    """Costs of distinct keys; ``cost_of`` is asked for those (by their index) that the worker has not met."""
+    if name not in _costs or len(_costs[name][0]) > MEMO:
+        _costs.clear()
+        _costs[name] = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    held, value = _costs[name]
+    by = np.argsort(keys)
+    place = np.searchsorted(held, keys[by])
+    known = held[np.minimum(place, len(held) - 1)] == keys[by] if len(held) else np.zeros(len(keys), bool)
+    out = np.empty(len(keys), np.float32)
+    out[by[known]] = value[place[known]]
+    new = by[~known]
+    if len(new):
+        out[new] = cost_of(new)
+        _costs[name] = np.insert(held, place[~known], keys[new]), np.insert(value, place[~known], out[new])
+    return out
 
 
 def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFrame:
@@ -335,12 +375,17 @@ def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFr
                 n, loss = [], []
                 for texts in _blocks(t or "" for t in b.column(4).to_pylist()):
                     w, lengths = windows(texts)
-                    _, first, where = np.unique(keys_of(w), return_index=True, return_inverse=True)
-                    distinct = w[first]
-                    cost = char_costs(distinct, block.value, _dense[name])
-                    if known.value is not None:  # characters that no n-gram has before its last one belong to the first block
-                        before = distinct[:, -2]
-                        cost[~(np.isin(before, own) | ((i == 0) & ~np.isin(before, known.value)))] = 0
+                    keys, row, where = distinct_windows(w)
+
+                    def cost_of(new: np.ndarray, w=w, row=row) -> np.ndarray:
+                        seen = w[row[new]]
+                        cost = char_costs(seen, block.value, _dense[name])
+                        if known.value is not None:  # characters that no n-gram has before its last one belong to the first block
+                            before = seen[:, -2]
+                            cost[~(np.isin(before, own) | ((i == 0) & ~np.isin(before, known.value)))] = 0
+                        return cost
+
+                    cost = remembered_costs((name, i), keys, cost_of).astype(np.float64)
                     run = np.concatenate(([0.0], np.cumsum(cost[where])))
                     stop = np.cumsum(lengths)
                     n.append(lengths)
