@@ -36,9 +36,9 @@ LEAST_TRUSTED = 20
 #: Trusted ids (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Characters that are counted or scored together, and blocks whose counts are summed together.
-BLOCK, BLOCKS = 1 << 21, 8
+BLOCK, BLOCKS = 1 << 20, 12
 #: Windows whose costs a worker remembers (12 bytes each); beyond that it starts anew.
-MEMO = 4_000_000
+MEMO = 3_000_000
 
 
 @lru_cache(maxsize=1)
@@ -167,7 +167,9 @@ def dense_log(model: list[tuple[tuple, tuple]]) -> np.ndarray:
             full = (weight.reshape(shape) * below.reshape(1, SYMBOLS ** (n - 2), SYMBOLS)).reshape(-1)
         full[gram] = p
         below = full
-    return -np.log(np.maximum(below, 1e-12))
+    np.maximum(below, np.float32(1e-12), out=below)  # in place, as the array is large
+    np.log(below, out=below)
+    return np.negative(below, out=below)
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
