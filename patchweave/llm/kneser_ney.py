@@ -36,9 +36,9 @@ LEAST_TRUSTED = 20
 #: Trusted ids (8 bytes each) up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Characters that are counted or scored together, and blocks whose counts are summed together.
-BLOCK, BLOCKS = 1 << 20, 12
+BLOCK, BLOCKS = 1 << 19, 6
 #: Windows whose costs a worker remembers (12 bytes each); beyond that it starts anew.
-MEMO = 3_000_000
+MEMO = 1_500_000
 
 
 @lru_cache(maxsize=1)
@@ -95,12 +95,19 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
     """(gram, c): occurrences of each 4-gram in ``trusted`` (text). Each task sends its sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for b in batches:
-            for part in _blocks([t for t in b.column(0).to_pylist() if t]):
-                total += np.bincount(grams(part)[0], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["gram", "c"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            codes, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return codes, np.bincount(where, np.concatenate([c for _, c in held]), len(codes)).astype(np.int64)
+
+        for part in _blocks(t for b in batches for t in b.column(0).to_pylist() if t):
+            held.append(np.unique(grams(part)[0], return_counts=True))
+            if len(held) > BLOCKS:
+                held = [summed()]
+        if held:
+            at, total = summed()
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total)], ["gram", "c"])
 
     return trusted.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
@@ -145,8 +152,11 @@ def smoothed(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
 
 
 def _array(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their values."""
     t = df.select(F.col(key).cast("int"), F.col(value).cast("float")).toArrow()
-    return t.column(0).to_numpy(), t.column(1).to_numpy()
+    keys, values = t.column(0).to_numpy(), t.column(1).to_numpy()
+    by = np.argsort(keys)
+    return keys[by], values[by]
 
 
 def model_of(counts: DataFrame) -> list[tuple[tuple, tuple]]:
@@ -154,22 +164,16 @@ def model_of(counts: DataFrame) -> list[tuple[tuple, tuple]]:
     return [(_array(p, "gram", "p"), _array(g, "context", "g")) for p, g in smoothed(counts)]
 
 
-def dense_log(model: list[tuple[tuple, tuple]]) -> np.ndarray:
-    """Negative natural log probability of every 4-gram, from the broadcast arrays (64 MB)."""
-    below = np.full(1, 1 / SYMBOLS, np.float32)
-    for n, ((gram, p), (context, g)) in enumerate(model, 1):
-        weight = np.ones(SYMBOLS ** (n - 1), np.float32)
-        weight[context] = g
-        if n == 1:
-            full = np.full(SYMBOLS, weight[0] * below[0], np.float32)
-        else:
-            shape = (SYMBOLS, SYMBOLS ** (n - 2), 1)
-            full = (weight.reshape(shape) * below.reshape(1, SYMBOLS ** (n - 2), SYMBOLS)).reshape(-1)
-        full[gram] = p
-        below = full
-    np.maximum(below, np.float32(1e-12), out=below)  # in place, as the array is large
-    np.log(below, out=below)
-    return np.negative(below, out=below)
+def class_probabilities(code: np.ndarray, model: list[tuple[tuple, tuple]]) -> np.ndarray:
+    """Probability of the last class of each 4-gram code after the other three."""
+    p = np.full(len(code), 1 / SYMBOLS)
+    for n, (seen, weights) in enumerate(model, 1):
+        mine = (code & ((1 << (BITS * n)) - 1)).astype(np.int32)
+        known, weight = _find(weights, mine >> BITS)
+        p = np.where(known, weight * p, p)
+        known, own = _find(seen, mine)
+        p = np.where(known, own, p)
+    return np.maximum(p, 1e-12)
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -306,14 +310,14 @@ def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return held[at] == keys, value[at].astype(np.float64)
 
 
-def char_costs(w: np.ndarray, model: dict, dense: np.ndarray) -> np.ndarray:
+def char_costs(w: np.ndarray, model: dict, classes: list[tuple[tuple, tuple]]) -> np.ndarray:
     """Negative natural log probability of the last character of each row of code points after the others.
 
     Below the single character stands the 4-gram model of classes, which a class's characters share evenly.
     """
     s = np.where(w == ord(START), 0, symbol_table()[w]).astype(np.uint32)
     code = sum(s[:, CHARS - 1 - k] << np.uint32(BITS * k) for k in range(ORDER))
-    floor = np.exp(-dense[code].astype(np.float64)) / np.maximum(np.bincount(symbol_table(), minlength=SYMBOLS), 1)[s[:, -1]]
+    floor = class_probabilities(code, classes) / np.maximum(np.bincount(symbol_table(), minlength=SYMBOLS), 1)[s[:, -1]]
     empty = model["g", 0][1]
     below = np.full(len(w), float(empty[0]) if len(empty) else 1.0)  # the product of weights of the longest seen context so far
     p = np.zeros(len(w))
@@ -327,8 +331,6 @@ def char_costs(w: np.ndarray, model: dict, dense: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(p + below * floor, 1e-30))
 
 
-#: The table of the class model that a worker used last, by the model's name.
-_dense: dict[str, np.ndarray] = {}
 #: Sorted keys of windows that a worker has met, and their costs, by the name of the model and its block.
 _costs: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -370,9 +372,6 @@ def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFr
         own = np.array(sorted(map(ord, mine)), np.uint32)
 
         def score(batches: Iterator[pa.RecordBatch], i=i, block=block, known=known, own=own) -> Iterator[pa.RecordBatch]:
-            if name not in _dense:
-                _dense.clear()
-                _dense[name] = dense_log(shared.value)
             for b in batches:
                 n, loss = [], []
                 for texts in _blocks(t or "" for t in b.column(4).to_pylist()):
@@ -381,7 +380,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFr
 
                     def cost_of(new: np.ndarray, w=w, row=row) -> np.ndarray:
                         seen = w[row[new]]
-                        cost = char_costs(seen, block.value, _dense[name])
+                        cost = char_costs(seen, block.value, shared.value)
                         if known.value is not None:  # characters that no n-gram has before its last one belong to the first block
                             before = seen[:, -2]
                             cost[~(np.isin(before, own) | ((i == 0) & ~np.isin(before, known.value)))] = 0
