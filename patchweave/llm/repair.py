@@ -33,9 +33,9 @@ LEAST = 8
 #: Pairs with this share of the round's highest count are replaced together; lower ones wait for later rounds.
 SHARE = 1 / 64
 #: Words that a worker remembers.
-MEMO = 1_200_000
+MEMO = 900_000
 #: Texts, and bytes of them, that are encoded together.
-TEXTS, TEXT_BYTES = 4096, 16 << 20
+TEXTS, TEXT_BYTES = 3072, 10 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
@@ -115,22 +115,28 @@ class Encoder:
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
         words = pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(pc.utf8_lower(plain), _STOP, r"\1 \2\3"), "\n", " "), " ")
+        first = words.offsets.to_numpy() - words.offsets[0].as_py()
         numbered = words.flatten().dictionary_encode()
+        del plain, words
         distinct, at = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
         pieces = list(map(memo.get, distinct))
         new = [i for i, x in enumerate(pieces) if x is None]
         self._learn([distinct[i] for i in new])
         for i in new:
             pieces[i] = memo[distinct[i]]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) >> 2
+        del distinct, new
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces)) >> 2
         ids = np.frombuffer(b"".join(pieces), "<u4")
+        del pieces
         n = size[at]
-        stop = np.cumsum(n)
-        source = np.repeat(((np.cumsum(size) - size)[at] - stop + n).astype(np.int32), n)
+        stop = np.zeros(len(n) + 1, np.int32)  # a batch has fewer than 2**31 ids
+        np.cumsum(n, out=stop[1:])
+        source = np.repeat((np.cumsum(size, dtype=np.int32) - size)[at] - stop[:-1], n)
+        del numbered, at, n
         source += np.arange(len(source), dtype=np.int32)
         flat = ids[source]
-        bound = np.concatenate(([0], stop))[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        out = [flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        bound = stop[first].tolist()
+        out = [flat[a:b] for a, b in zip(bound, bound[1:], strict=False)]
         for i in np.flatnonzero(odd).tolist():
             out[i] = np.frombuffer(self.whole(texts[i].as_py()), "<u4")
         return out
