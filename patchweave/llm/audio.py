@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage
+from patchweave.llm.common import map_arrow, pick, stage
 
 SOURCE_RATE, RATE = 16_000, 8_000
 WINDOW, HOP, FFT, MELS = 200, 80, 256, 32
@@ -167,7 +167,7 @@ def store_media(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, raws), pa.int64()), pa.array([to_wav(payload_of(r)) for r in raws], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     raw = pick(docs, doc_id="long", text="string").select("doc_id", F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("raw"))
-    return stage(raw.mapInArrow(encode, "doc_id long, n_bytes long, media binary"), "media")
+    return stage(raw.transform(map_arrow, encode, "doc_id long, n_bytes long, media binary"), "media")
 
 
 _STORED = [(c, pa.int64()) for c in ("doc_id", "n_bytes", "payload_bytes")] + [
@@ -205,7 +205,7 @@ def store_features(media: DataFrame) -> DataFrame:
             if rows:
                 yield _rows(rows, schema)
 
-    return stage(media.select("doc_id", "n_bytes", "media").mapInArrow(extract, _STORED_DDL), "audio-features")
+    return stage(media.select("doc_id", "n_bytes", "media").transform(map_arrow, extract, _STORED_DDL), "audio-features")
 
 
 def audio_features(stored: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 out.append(f"{n}x{MELS}:{len(spans)}:{h.hexdigest()[:16]}")
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], [*b.schema.names[:-1], "feature"])
 
-    return stored.mapInArrow(digest, _STORED_DDL.replace("tensors binary", "feature string"))
+    return stored.transform(map_arrow, digest, _STORED_DDL.replace("tensors binary", "feature string"))
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage, wrapped
+from patchweave.llm.common import map_arrow, pick, stage, wrapped
 from patchweave.llm.suffix_dedup import PrefixHashes, _avalanche
 
 WORDS = 5
@@ -394,7 +394,7 @@ def similar(docs: DataFrame) -> DataFrame:
     """
     raw = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
     base = pick(docs, doc_id="long", text="string").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), raw.alias("raw"))
-    signed = stage(base.mapInArrow(_signatures, SIGNATURE), "signatures")
+    signed = stage(base.transform(map_arrow, _signatures, SIGNATURE), "signatures")
     nodes = stage(
         signed.where("n > 0").groupBy("sid").agg(
             F.count("*").alias("weight"), F.min("doc").alias("least"), F.min(F.struct("doc", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("mins").alias("mins"), F.first("keys").alias("keys")
@@ -406,14 +406,14 @@ def similar(docs: DataFrame) -> DataFrame:
     edges = None
     for level in range(1, LEVELS + 1):
         told = _with_says(member)
-        found = stage(told.repartition("key").sortWithinPartitions("key").mapInArrow(_bucket_pairs(level == LEVELS), "a binary, b binary, key long"), f"paths-{level}")
+        found = stage(told.repartition("key").sortWithinPartitions("key").transform(map_arrow, _bucket_pairs(level == LEVELS), "a binary, b binary, key long"), f"paths-{level}")
         mine = found.where("b is not null").select("a", "b")
         edges = mine if edges is None else edges.unionByName(mine)
         left = found.where("b is null").select(F.col("a").alias("sid"), "key")
         if level == LEVELS or left.isEmpty():
             break
         split = nodes.join(left.groupBy("sid").agg(F.collect_set("key").alias("paths")), "sid").select("sid", "n", "sketch", "paths", "mins")
-        member = split.mapInArrow(_children, "key long, sid binary, n int, sketch binary")
+        member = split.transform(map_arrow, _children, "key long, sid binary, n int, sketch binary")
 
     cells = connected(edges)
     sizes = cells.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -427,7 +427,7 @@ def similar(docs: DataFrame) -> DataFrame:
     dealt = texts.select("*", other.alias("o")).select(
         "cell", F.least("block", "o").alias("bi"), F.greatest("block", "o").alias("bj"), "sid", F.when(F.col("block") <= F.col("o"), 0).otherwise(1).alias("side"), "weight", "raw"
     )
-    verified = stage(dealt.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "sid").mapInArrow(_verify, LINKS), "links")
+    verified = stage(dealt.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "sid").transform(map_arrow, _verify, LINKS), "links")
 
     links = verified.groupBy("sid").agg(F.sum("links").alias("links"))
     roots = connected(verified.select(F.col("sid").alias("a"), F.col("root").alias("b")))

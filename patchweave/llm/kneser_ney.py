@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import pick, stage, wrapped
+from patchweave.llm.common import map_arrow, pick, stage, wrapped
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -109,7 +109,7 @@ def gram_counts(trusted: DataFrame) -> DataFrame:
             at, total = summed()
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total)], ["gram", "c"])
 
-    return trusted.select("text").mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return trusted.select("text").transform(map_arrow, count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -231,7 +231,7 @@ def char_counts(trusted: DataFrame) -> DataFrame:
             text = np.ascontiguousarray(codes[i : i + (1 << 17)]).view(f"<U{CHARS}").ravel().tolist()
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(total[i : i + (1 << 17)])], ["gram", "c"])
 
-    return trusted.select("text").mapInArrow(count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return trusted.select("text").transform(map_arrow, count, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def smoothed_chars(counts: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def _keyed(model: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarr
                     out[at] = keys_of(np.frombuffer("".join(grams_[i] for i in at).encode("utf-32-le"), np.uint32).reshape(-1, k))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.view(np.int64)), pa.array(b.column(3).to_numpy().astype(np.float32))], ["seen", "n", "k", "v"])
 
-    t = model.select((F.col("kind") == "a").alias("seen"), F.col("n").cast("byte").alias("n"), "gram", "v").mapInArrow(keys, "seen boolean, n byte, k long, v float").toArrow()
+    t = model.select((F.col("kind") == "a").alias("seen"), F.col("n").cast("byte").alias("n"), "gram", "v").transform(map_arrow, keys, "seen boolean, n byte, k long, v float").toArrow()
     kind, n = t.column(0).to_numpy(), t.column(1).to_numpy()
     k, v, out = t.column(2).to_numpy().view(np.uint64), t.column(3).to_numpy(), {}
     for name, mine in (("a", kind), ("g", ~kind)):
@@ -394,7 +394,7 @@ def perplexities(docs: DataFrame, counts: DataFrame, chars: DataFrame) -> DataFr
                 n, loss = (np.concatenate(x) if x else np.zeros(0) for x in (n, loss))
                 yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(n.astype(np.int64)), pa.array(loss.astype(np.float64))], ["row", "doc_id", "lang", "th", "n_symbols", "loss"])
 
-        found = base.mapInArrow(score, "row long, doc_id long, lang string, th long, n_symbols long, loss double")
+        found = base.transform(map_arrow, score, "row long, doc_id long, lang string, th long, n_symbols long, loss double")
         parts = found if parts is None else parts.unionByName(found)
     if len(blocks) > 1:
         parts = parts.groupBy("row", "doc_id", "lang", "th", "n_symbols").agg(F.sum("loss").alias("loss"))

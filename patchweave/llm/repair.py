@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import gathered, pick, stage
+from patchweave.llm.common import gathered, map_arrow, pick, stage
 from patchweave.llm.transducer import byte_alphabet
 
 END_ID = 2
@@ -33,9 +33,9 @@ LEAST = 8
 #: Pairs with this share of the round's highest count are replaced together; lower ones wait for later rounds.
 SHARE = 1 / 64
 #: Words that a worker remembers.
-MEMO = 900_000
+MEMO = 1_000_000
 #: Texts, and bytes of them, that are encoded together.
-TEXTS, TEXT_BYTES = 3072, 10 << 20
+TEXTS, TEXT_BYTES = 3584, 12 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
@@ -342,7 +342,7 @@ def write_blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_ids: in
             yield _pack(part, block, before, docs_, ids, base)
 
     ordered = pick(docs, doc_id="long", text="string").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage(ordered.mapInArrow(packed, BLOCKS), "token-blocks")
+    return stage(ordered.transform(map_arrow, packed, BLOCKS), "token-blocks")
 
 
 def _grammar(row: dict) -> tuple[Grammar, np.ndarray]:
@@ -387,7 +387,7 @@ def read_documents(blocks: DataFrame, with_ids: bool = False) -> DataFrame:
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    docs = blocks.mapInArrow(read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long, ids array<long>")
+    docs = blocks.transform(map_arrow, read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long, ids array<long>")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("base", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
     out = docs.join(F.broadcast(parts.select("part", "base")), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
     return out if with_ids else out.drop("ids")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patchweave.llm.common import gathered, pick, stage
+from patchweave.llm.common import gathered, map_arrow, pick, stage
 
 LENGTH = 100
 GRAM = 32
@@ -516,7 +516,7 @@ def _marked(base: DataFrame, hot_regions: int, bits: int) -> DataFrame:
     # One exchange by k serves all windows.
     w = F.col("w")
     return (
-        base.mapInArrow(lambda batches: _region_rows(batches, bits), REGION_SCHEMA)
+        base.transform(map_arrow, lambda batches: _region_rows(batches, bits), REGION_SCHEMA)
         .repartition("k")
         .select(
             "k", "r", "doc", "th", F.shiftright(w, 16).cast("int").alias("start"), w.bitwiseAND(0xFFFF).cast("int").alias("low"), (w.bitwiseAND(1) == 1).alias("done")
@@ -551,7 +551,7 @@ def _per_document(marked: DataFrame, claims: bool) -> DataFrame:
 def _verified(base: DataFrame, per_doc: DataFrame) -> DataFrame:
     """doc, th, start, stop, same: each joined claim, and whether the earlier document has these bytes at that place."""
     mine = per_doc.where(F.size("claims") > 0).select("doc", "th", "claims").hint("shuffle_hash")
-    rows = base.join(mine, ["doc", "th"]).select("doc", "th", "raw", "claims").mapInArrow(_claim_rows, CLAIM_SCHEMA)
+    rows = base.join(mine, ["doc", "th"]).select("doc", "th", "raw", "claims").transform(map_arrow, _claim_rows, CLAIM_SCHEMA)
     old = base.select(F.col("doc").alias("doc0"), F.col("th").alias("th0"), "raw")
     same = F.expr("substring(raw, start0 + 1, octet_length(bytes)) = bytes").alias("same")
     return stage(old.join(rows.hint("shuffle_hash"), ["doc0", "th0"]).select("doc", "th", "start", "stop", same), "verified-claims")
@@ -575,11 +575,11 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False, hot_regions: int =
         per_doc = _per_document(marked, claims=False)
         repeats = repeats.limit(0)
     edges = per_doc.where(F.size("edges") > 0).select("doc", "th", "edges").hint("shuffle_hash")
-    contexts = base.join(edges, ["doc", "th"]).select("doc", "th", "raw", "edges").mapInArrow(_context_rows, CONTEXT_SCHEMA)
-    found = contexts.repartition("k").sortWithinPartitions("k", "r", "doc", "th", "start").mapInArrow(_edge_spans, SPAN_SCHEMA)
+    contexts = base.join(edges, ["doc", "th"]).select("doc", "th", "raw", "edges").transform(map_arrow, _context_rows, CONTEXT_SCHEMA)
+    found = contexts.repartition("k").sortWithinPartitions("k", "r", "doc", "th", "start").transform(map_arrow, _edge_spans, SPAN_SCHEMA)
     more = repeats.select("doc", "th", "start", "stop").unionByName(found).select("doc", "th", F.array(F.struct("start", "stop")).alias("spans"))
     spans = per_doc.select("doc", "th", "spans").unionByName(more).groupBy("doc", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return base.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc", "raw", "spans").mapInArrow(_apply(with_kept), RESULT_SCHEMA)
+    return base.join(spans.hint("shuffle_hash"), ["doc", "th"], "left").select("doc", "raw", "spans").transform(map_arrow, _apply(with_kept), RESULT_SCHEMA)
 
 
 #: The same by brute force over every 100-byte string, two hexadecimal digits a byte.

@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from patchweave.llm.common import pick
+from patchweave.llm.common import map_arrow, pick
 
 #: Characters of a chunk.
 CHUNK = 1 << 16
@@ -258,4 +258,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, chunk: int = CHUN
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return pick(docs, doc_id="long", text="string").transform(map_arrow, counted, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
