@@ -33,9 +33,9 @@ LEAST = 8
 #: Pairs with this share of the round's highest count are replaced together; lower ones wait for later rounds.
 SHARE = 1 / 64
 #: Words that a worker remembers.
-MEMO = 1_000_000
+MEMO = 1_200_000
 #: Texts, and bytes of them, that are encoded together.
-TEXTS, TEXT_BYTES = 3584, 12 << 20
+TEXTS, TEXT_BYTES = 4096, 16 << 20
 
 #: A stop that ends a word.
 _STOP = r"([a-z])([.,])([ \n])"
