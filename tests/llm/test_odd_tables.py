@@ -46,3 +46,13 @@ def test_stages_return_their_rows(spark, stage):
 def test_operators_on_odd_tables(spark):
     df = odd(spark)
     assert splitters.shard(df, 4).count() == suffix_dedup.remove_repeats(df).count() == chosen_path.similar(df).count() == fair_mix.mix(df).count() == 5
+
+
+def test_names_that_differ_by_case_or_come_twice(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta", "x", "own", 5), (2, None, "y", None, 6)], "doc_id long, text string, TEXT2 string, source string, DOC2 long")
+    df = df.toDF("doc_id", "text", "TEXT", "text", "Doc_Id")
+    assert [tuple(r) for r in pick(df, doc_id="long", text="string").collect()] == [(1, "alpha beta gamma delta epsilon zeta"), (2, None)]
+    assert splitters.shard(df, 4).count() == fair_mix.mix(df).count() == suffix_dedup.remove_repeats(df).count() == 2
+    items = spark.createDataFrame([(4, "alpha beta")], "item_id long, text string")
+    assert decontaminate.clean(df, items).columns == df.columns
+    assert [r[0] for r in decontaminate.clean(df, items).collect()] == [2]
