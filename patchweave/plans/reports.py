@@ -255,6 +255,24 @@ def _(s, d):
     return read(s, d, "part").groupBy(F.col("p_name").alias("label")).agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("n_clusters")).orderBy(F.desc("n"), "label").limit(20)
 
 
+@register("agg_corpus_macros", P + "select count(*)::bigint as n_patches, count(distinct page)::bigint as n_pages, count(distinct cluster)::bigint as n_clusters, count(distinct label) filter (coalesce(label, '▯') <> '▯')::bigint as n_glossary from p")
+def _(s, d):
+    """Numbers that a text about the corpus cites; the glossary counts known labels."""
+    known_label = F.when(known(F.col("label")), F.col("label"))
+    return patches(s, d).agg(F.count("*").alias("n_patches"), F.count_distinct("page").alias("n_pages"), F.count_distinct("cluster").alias("n_clusters"), F.count_distinct(known_label).alias("n_glossary"))
+
+
+@register("agg_algorithm_summary", "select l_returnflag as algorithm, count(*)::bigint as n_runs, sum((l_quantity * 100)::bigint) / 100.0::double as total_time, round(sum((l_quantity * 100)::bigint) / 100.0::double / count(*), 6) as mean_time, min(l_quantity) as min_time, max(l_quantity) as max_time, round(avg(l_linenumber), 6) as mean_clusters, min(l_linenumber)::bigint as min_clusters, max(l_linenumber)::bigint as max_clusters from lineitem group by 1")
+def _(s, d):
+    """Times and cluster counts of each algorithm's runs; times add up in hundredths, alike in any order."""
+    t, n = F.col("l_quantity"), F.col("l_linenumber")
+    total = F.sum(F.round(t * 100).cast("long")) / 100.0
+    return read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("algorithm")).agg(
+        F.count("*").alias("n_runs"), total.alias("total_time"), F.round(total / F.count("*"), 6).alias("mean_time"), F.min(t).alias("min_time"), F.max(t).alias("max_time"),
+        F.round(F.avg(n), 6).alias("mean_clusters"), F.min(n).cast("long").alias("min_clusters"), F.max(n).cast("long").alias("max_clusters"),
+    )
+
+
 @register("agg_fragmented", "select l_returnflag as label, count(distinct l_suppkey)::bigint as n_clusters from lineitem group by 1 having count(distinct l_suppkey) > 1")
 def _(s, d):
     return read(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(F.count_distinct("l_suppkey").alias("n_clusters")).where("n_clusters > 1").orderBy(F.desc("n_clusters"), "label")
