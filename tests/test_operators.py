@@ -32,6 +32,36 @@ def test_nearest_and_interval(spark):
     assert got == {i: next((c for c, lo, hi in spans if lo <= x < hi), 0) for i, x in pts}
 
 
+def test_path_centralities_in_parts(spark, monkeypatch):
+    r = random.Random(3)
+    e = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(110)} | {(100, 101), (101, 102)})
+    ids, starts, nb = G.flat_adjacency(*np.array(e).T)
+    _, lists = G.adjacency(*np.array(e).T)
+    assert [nb[starts[i] : starts[i + 1]].tolist() for i in range(len(ids))] == lists
+    monkeypatch.setattr(G, "VISITS", 200)
+    monkeypatch.setattr(G, "BITS", 7)
+    monkeypatch.setattr(G, "ROWS", 5)
+    v = spark.createDataFrame([(i,) for i in [*range(60), 100, 101, 102, 999]], "id long")
+    got = {x.id: x for x in G.path_centralities(v, spark.createDataFrame([(a, b, 1.0) for a, b in e], "src long, dst long, weight double")).collect()}
+    comp = {**{int(i): 1 for i in ids if i < 100}, 100: 2, 101: 2, 102: 2}
+    n, between, far = len(got), G.betweenness(lists), G.distance_sums(lists)
+    for k, i in enumerate(ids.tolist()):
+        size = sum(c == comp[i] for c in comp.values())
+        assert math.isclose(got[i].betweenness, between[k] / ((n - 1) * (n - 2) / 2), abs_tol=1e-12)
+        assert math.isclose(got[i].closeness, (size - 1) / far[k] * (size - 1) / (n - 1))
+    assert got[999].betweenness == got[999].closeness == 0
+    one = {x.id: x.closeness for x in G.path_centralities(v, spark.createDataFrame([(a, b, 1.0) for a, b in e], "src long, dst long, weight double"), ("closeness",)).collect()}
+    assert one == {i: x.closeness for i, x in got.items()}
+
+
+def test_paths_beyond_the_range_of_doubles():
+    e = np.array([x for i in range(1100) for x in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))])
+    ids, starts, nb = G.flat_adjacency(*e.T)
+    share = G.path_shares(starts, nb, np.array([0]))
+    behind = len(ids) - 1 - np.arange(len(ids))
+    assert np.allclose(share[3::3], behind[3::3]) and np.allclose(share[1::3], (behind[3::3] + 1) / 2)
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     tables.save(df, str(tmp_path / "t"))
