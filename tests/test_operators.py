@@ -32,6 +32,41 @@ def test_nearest_and_interval(spark):
     assert got == {i: next((c for c, lo, hi in spans if lo <= x < hi), 0) for i, x in pts}
 
 
+def test_fast_cemd_against_all_cuts():
+    r = np.random.default_rng(12)
+    for bins in (4, 6, 8, 16):
+        for q, k in [(r.normal(size=(9, 3, bins)), r.normal(size=(700, 3, bins))), (r.integers(-2, 3, (9, 3, bins)) * 1.0, r.integers(-2, 3, (11, 3, bins)) * 1.0)]:
+            x = np.cumsum(q, 2)[:, None] - np.cumsum(k, 2)[None]
+            for last in (False, True):
+                cuts = [0 * x[..., :1], *(x[..., s : s + 1] for s in range(1, bins - (not last)))]
+                want = np.min([np.abs(x - c).mean(-1) for c in cuts], 0)
+                assert np.allclose(S.cemd_cells(q, k, last), want, rtol=0, atol=1e-12)
+
+
+def test_each_block_pair_is_worked_on_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    plain = S.cemd_cells
+
+    def counted(q, k):
+        calls.add(len(q) * len(k))
+        return plain(q, k)
+
+    monkeypatch.setitem(S.KERNELS, "counted", counted)
+    r = np.random.default_rng(2)
+    x = np.abs(r.normal(size=(90, 1, 4)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, hist array<array<double>>")
+    d = plain(x, x).sum(2)
+    for block in (13, 18, 200):
+        before = calls.value
+        m = {q.id: (q.mu, q.var, q.n) for q in S.pair_moments(df, "counted", block).collect()}
+        assert calls.value - before < (1 if block > 90 else 0.8) * 90 * 90 + 1
+        assert np.allclose([m[i][:2] for i in range(90)], np.stack([d.mean(1), d.var(1, ddof=1)], 1)) and all(v[2] == 90 for v in m.values())
+        moments = spark.createDataFrame([(i, *map(float, v[:2])) for i, v in m.items()], "id long, mu double, var double")
+        z = (d - d.mean(1)[:, None]) / (d.std(1, ddof=1)[:, None] + 1e-15)
+        assert {(q.i, q.j) for q in S.matches(df, moments, -1.0, "cemd", block).collect()} == {(i, j) for i in range(90) for j in range(90) if i != j and z[i, j] <= -1.0}
+        assert {(q.i, q.j) for q in S.close_pairs(df, 0.5, "cemd", block).collect()} == {(i, j) for i in range(90) for j in range(i + 1, 90) if d[i, j] <= 0.5}
+
+
 def test_path_centralities_in_parts(spark, monkeypatch):
     r = random.Random(3)
     e = sorted({tuple(sorted(r.sample(range(60), 2))) for _ in range(110)} | {(100, 101), (101, 102)})
