@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,78 @@ def test_paths_beyond_the_range_of_doubles():
     assert np.allclose(share[3::3], behind[3::3]) and np.allclose(share[1::3], (behind[3::3] + 1) / 2)
 
 
+def test_nearest_has_no_frame_to_the_end(spark):
+    pts = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 700.0)], "id long, x double")
+    near = J.nearest_1d(pts, spark.createDataFrame([(7, 4.0), (5, 6.0), (6, 6.0)], "key long, y double"))
+    assert {(r.id, r.key, r.dist) for r in near.collect()} == {(1, 5, 1.0), (2, 5, 1.0), (3, 5, 694.0)}
+    frames = [x for x in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "specifiedwindowframe(RangeFrame" in x]
+    assert frames and not any("RangeFrame, currentrow$(), unboundedfollowing$()" in x or "RangeFrame, 0, unboundedfollowing" in x for x in frames)
+
+
+def test_candidates_verified_in_one_join(spark):
+    r = random.Random(5)
+    rows = [(i, r.randrange(3), float(r.randrange(40)), r.randrange(9)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g int, x double, delta int")
+    got = J.verified_within(df, ["g"])
+    assert sorted(map(tuple, got.collect())) == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[0] != b[0] and abs(a[2] - b[2]) <= a[3])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_jaccard_blocks_against_matrix(spark):
+    r = np.random.default_rng(8)
+    w = r.integers(-(2**62), 2**62, (60, 2)) & r.integers(-(2**62), 2**62, (60, 2))
+    w[3] = 0
+    df = spark.createDataFrame([(i, i % 2, int(a), int(b)) for i, (a, b) in enumerate(w)], "id long, g int, a long, b long")
+    bits = ((w[:, :, None] >> np.arange(64)) & 1).reshape(60, 128) > 0
+    m = I.distance_matrix(list(bits), "jaccard", diagonal=1.0)
+    for block in (7, 1000):
+        got = [tuple(q) for q in S.jaccard_within(df, "g", ("a", "b"), block).collect()]
+        assert {(g, i, j) for g, i, j, _ in got} == {(i % 2, i, j) for i in range(60) for j in range(i, 60, 2)} and len(got) == 2 * 30 * 31 // 2
+        assert all(math.isclose(x, m[i, j], abs_tol=1e-12) for _, i, j, x in got)
+
+
+def test_linkage_order_and_time():
+    def plain(d):
+        d, n = d.copy(), len(d)
+        np.fill_diagonal(d, np.inf)
+        name, size, out = list(range(n)), [1.0] * n, []
+        for k in range(n - 1):
+            i, j = divmod(int(d.argmin()), n)
+            out.append((*sorted((name[i], name[j])), d[i, j], size[i] + size[j]))
+            row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+            d[i], d[:, i] = row, row
+            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+            name[i], size[i] = n + k, size[i] + size[j]
+        return np.array(out)
+
+    r = np.random.default_rng(15)
+    for p in (r.random((60, 3)), r.integers(0, 3, (60, 2)) * 1.0):
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        want = plain(d)
+        assert np.allclose(R.average_linkage(d), want)
+        low = want[want[:, 2] <= 0.5]
+        assert np.allclose(R.average_linkage(d, 0.5), low)
+    p = r.random((1500, 2))
+    began = time.process_time()
+    R.average_linkage(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)))
+    assert time.process_time() - began < 4
+
+
+def test_kmedoids_without_pairs(spark, monkeypatch):
+    r = np.random.default_rng(21)
+    x = r.normal(size=(80, 2, 2)) * 0.5
+    df = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "id long, cluster long, hist array<array<double>>")
+    half = S.close_pairs(df, 0.8, "l2")
+    both = half.unionByName(half.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    want = {q.id: q.cluster for q in R.kmedoids(df.select("id", "cluster"), both).collect()}
+    monkeypatch.setattr(S, "TILE", 9)
+    assert {q.id: q.cluster for q in R.kmedoids_within(df, 0.8).collect()} == want and len(set(want.values())) > 1
+    t = {q.id: (q.t, q.k) for q in S.neighbour_sums(df, 0.8, block=6).collect()}
+    d = S.l2_cells(x, x).sum(2)
+    near = (d <= 0.8) & (np.arange(80)[:, None] != np.arange(80)) & (np.arange(80)[:, None] % 4 == np.arange(80) % 4)
+    assert all(math.isclose(t[i][0], d[i][near[i]].sum(), abs_tol=1e-9) and t[i][1] == near[i].sum() for i in range(80))
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "id long, name string")
     tables.save(df, str(tmp_path / "t"))
