@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import time
 
 import numpy as np
@@ -90,6 +91,36 @@ def test_path_centralities_in_parts(spark, monkeypatch):
     assert one == {i: x.closeness for i, x in got.items()}
 
 
+def _narrow_graphs():
+    r = random.Random(1)
+    band = sorted({(i - 1, i) for i in range(1, 600)} | {(max(0, i - r.randrange(2, 9)), i) for i in range(2, 600)})
+    yield band
+    yield [(max(0, i - r.randrange(1, 4)), i) for i in range(1, 400)] + [(5, 200)]
+    yield [(i, (i + 1) % 200) for i in range(200)]
+    yield [(i, i + 2) for i in range(300)] + [(2 * i, 2 * i + 1) for i in range(150)]
+    yield [(r.randrange(i), i) for i in range(1, 300)]
+
+
+@pytest.mark.parametrize("depth", [2, 6, 96])
+def test_searches_that_go_on_as_those_from_the_ends(monkeypatch, depth):
+    monkeypatch.setattr(G, "DEPTH", depth)
+    for e in _narrow_graphs():
+        ids, starts, nb = G.flat_adjacency(*np.array(e).T)
+        _, lists = G.adjacency(*np.array(e).T)
+        parts = np.array_split(G.end_order(starts, nb), 3)
+        assert np.allclose(sum(G.path_shares(starts, nb, p) for p in parts) / 2, G.betweenness(lists), rtol=1e-10)
+
+
+def test_shares_of_a_long_band_hold_no_row_of_it(monkeypatch):
+    r = random.Random(4)
+    e = np.array(sorted({(i - 1, i) for i in range(1, 40_000)} | {(max(0, i - r.randrange(2, 9)), i) for i in range(2, 40_000)}))
+    ids, starts, nb = G.flat_adjacency(*e.T)
+    tracemalloc.start()
+    G.path_shares(starts, nb, np.arange(20_000, 20_064))
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # 64 rows of 40,000 vertices are 72 MB and more
+    tracemalloc.stop()
+
+
 def test_paths_beyond_the_range_of_doubles():
     e = np.array([x for i in range(1100) for x in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))])
     ids, starts, nb = G.flat_adjacency(*e.T)
