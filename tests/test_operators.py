@@ -121,6 +121,29 @@ def test_shares_of_a_long_band_hold_no_row_of_it(monkeypatch):
     tracemalloc.stop()
 
 
+def test_distance_sums_of_a_narrow_graph_visit_what_is_near(monkeypatch):
+    def whole(*_):
+        raise AssertionError("goes through the whole graph")
+
+    r = random.Random(2)
+    e = sorted({(i - 1, i) for i in range(1, 2000)} | {(max(0, i - r.randrange(2, 6)), i) for i in range(2, 2000)})
+    ids, starts, nb = G.flat_adjacency(*np.array(e).T)
+    _, lists = G.adjacency(*np.array(e).T)
+    monkeypatch.setattr(G, "distances_to", whole)
+    parts = np.array_split(G.end_order(starts, nb), 3)
+    assert (sum(G.distance_totals(starts, nb, p) for p in parts) == G.distance_sums(lists)).all()
+
+
+@pytest.mark.parametrize("depth", [2, 6, 96])
+def test_distance_sums_of_odd_graphs(monkeypatch, depth):
+    monkeypatch.setattr(G, "DEPTH", depth)
+    for e in _narrow_graphs():
+        ids, starts, nb = G.flat_adjacency(*np.array(e).T)
+        _, lists = G.adjacency(*np.array(e).T)
+        parts = np.array_split(G.end_order(starts, nb), 3)
+        assert (sum(G.distance_totals(starts, nb, p) for p in parts) == G.distance_sums(lists)).all()
+
+
 def test_paths_beyond_the_range_of_doubles():
     e = np.array([x for i in range(1100) for x in ((3 * i, 3 * i + 1), (3 * i, 3 * i + 2), (3 * i + 1, 3 * i + 3), (3 * i + 2, 3 * i + 3))])
     ids, starts, nb = G.flat_adjacency(*e.T)
